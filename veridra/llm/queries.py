@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridra.llm import bpe, chat, ppm, quality, secrets, simhash, tokencount, urls
+from veridra.llm import bpe, chat, decontam, linededup, ppm, quality, secrets, simhash, tokencount, urls
 from veridra.llm.common import table
 
 WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,12 +50,16 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), vocab(BYTE_VOCAB))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_simhash, op4_bpe, op5_quality, op6_ppm, op7_url_filter, op8_chat, op10_token_counts)
+    f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_simhash, op4_bpe, op5_quality, op6_ppm, op7_url_filter, op8_chat, op9_line_dedup, op10_token_counts)
 }
 
 #: Queries that plain SQL expresses.
