@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridra.functions.text import number, strip, text, true, zfill
+from veridra.functions.text import let, number, strip, text, true, zfill
 from veridra.operators.dates import spelling, value_of
 from veridra.rules import PROCESSING_CODES
 
@@ -88,9 +88,9 @@ def missing(df: DataFrame) -> DataFrame:
 
 
 def lenient(v: Column) -> Column:
-    """For looking only: epoch seconds as UTC, then any spelling of step 1."""
+    """For looking only: epoch seconds as UTC, then any spelling of step 1; null beyond the year 2261, as nanoseconds end."""
     seconds = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=v.try_cast("long").cast("decimal(18,6)"))
-    return F.when(v.rlike(r"^\d{9,10}$"), seconds).otherwise(value_of(v, spelling(v)))
+    return let(F.when(v.rlike(r"^\d{9,10}$"), seconds).otherwise(value_of(v, spelling(v))), lambda x: F.when(F.year(x) <= 2261, x))
 
 
 def column_kinds(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,14 @@ DEFAULT_STEPS: tuple[type[Step], ...] = (
 
 
 class TransactionCleaner:
-    """Steps by class or instance, in order. `run` is lazy; `report` works its aggregates out when it is read."""
+    """Steps by class or instance, in order. `run` is lazy; `report` works its aggregates out when it is read.
 
-    def __init__(self, steps: Sequence[type[Step] | Step] = DEFAULT_STEPS, *, policy: Policy | None = None, mcc_reference=None, master: dict | None = None):
-        self.policy = policy or default_policy()
+    With persist, what a step gives is kept (in memory, then on disk) once it is read, so that a report and several
+    sheets don't run the steps before it again; without, nothing is kept.
+    """
+
+    def __init__(self, steps: Sequence[type[Step] | Step] = DEFAULT_STEPS, *, policy: Policy | None = None, mcc_reference=None, master: dict | None = None, persist: bool = False):
+        self.policy, self.persist = policy or default_policy(), persist
         self.steps: list[Step] = []
         for step in steps:
             if isinstance(step, Step):
@@ -49,6 +54,8 @@ class TransactionCleaner:
         self.stages, self.input = [], df
         for step in self.steps:
             out = step.apply(df)
+            if self.persist and out is not df:
+                out = out.persist(StorageLevel.MEMORY_AND_DISK)
             self.stages.append((step, df, out))
             df = out
         self.output = df

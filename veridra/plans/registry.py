@@ -270,7 +270,7 @@ def mcc_binomial(spark, sf_dir):
     """Upper tails for the order counts of customers: of n orders, the hits above half at odds of one half."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderkey") % 2 == 0).alias("even"))
     hits = F.greatest("even", F.col("n") - F.col("even"))
-    return orders.select("o_custkey", "n", hits.alias("hits"), F.round(mcc.binomial_tail(F.col("n"), F.lit(2), hits), 9).alias("p"))
+    return orders.select("o_custkey", "n", hits.alias("hits"), F.round(mcc.binomial_tail(F.col("n"), F.lit(2), hits) + 1e-11, 9).alias("p"))
 
 
 @query
@@ -340,7 +340,7 @@ def pipeline_full(spark, sf_dir):
 
 
 def _sheets(spark, sf_dir):
-    cleaner = TransactionCleaner(mcc_reference=reference(spark))
+    cleaner = TransactionCleaner(mcc_reference=reference(spark), persist=True)
     raw = tx(spark, sf_dir)
     return build_sheets(raw, cleaner.run(raw), cleaner, reference(spark))
 
