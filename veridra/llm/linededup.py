@@ -1,10 +1,10 @@
 """Operator 9, fuzzy line dedup by MinHash (DataFrame and SQL functions only).
 
 Lines are told apart by a 64-bit hash of their text. Signatures are made within a row, without exploding shingles:
-the shingles of eight characters that begin at word starts are hashed and sorted into a ring; band j is the four
-hashes that follow anchor j on it (the four least under the order that starts there, so two lines share a band
-with about the fourth power of their similarity). Twelve anchors make the banding high-recall: a pair at 0.8 is
-missed about twice in a thousand. Only signatures of distinct lines of a document are stored, not texts.
+the shingles of eight characters that begin at word starts are hashed and sorted into a ring; band j is the three
+hashes that follow anchor j on it (the three least under the order that starts there, so two lines share a band
+with about the third power of their similarity). Eight anchors make the banding high-recall: a pair at 0.8 is
+missed about three times in a thousand. What is stored of a line is its place, its hash and its keys, not its text.
 
 Keys that hold two or more lines give pairs: a key of up to `hot` rows all pairs; a larger one links each of its
 lines to four of them picked by hash (other ones under each key), so no key makes more than four rows for a line.
@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from veridra.llm.common import cut
 from veridra.llm.graph import components
 
-BANDS, ROWS, SHINGLE, ANCHORED = 12, 4, 5, 8
+BANDS, ROWS, SHINGLE, ANCHORED = 8, 3, 5, 8
 SIMILARITY, HOT, PIVOTS = 0.8, 32, 4
+#: Keys and ids up to this number (16 bytes each) are broadcast to the larger side; more are joined by a shuffle.
+SMALL = 1_000_000
 BLANKS = " \t\n\x0b\x0c\r"
-#: Word starts: a letter or digit after anything else, and every character of scripts that put no space between words.
-STARTS = rf"(?s)(?:(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}\p{{N}}])|(?=[฀-໿぀-ヿ㐀-鿿]))(?=(.{{1,{ANCHORED}}}))"
+#: Word starts: after white space, and every character of scripts that put no space between words.
+STARTS = rf"(?s)(?=(.{{1,{ANCHORED}}}))(?:[\u0e00-\u9fff]|[^\s\u0e00-\u9fff]+)\s*"
 ALL = rf"(?s)(?=(.{{{SHINGLE}}}))"
 NO_ID = "9223372036854775808"
 
@@ -43,37 +45,35 @@ def lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "pos", "line", F.xxhash64("line").alias("id"))
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def bands(line: Column) -> Column:
-    """The keys of a line, one for each band."""
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, id and keys (one for each band) of each line. Each step is its own projection, so all but the hashing
+    of single shingles stays in generated code and nothing is worked out twice."""
+    keep = ["doc_id", "pos", "id"]
     anchors = [-(1 << 63) + j * ((1 << 64) // BANDS) + 1 for j in range(BANDS)]
-    found = F.regexp_extract_all(line, F.lit(STARTS), F.lit(1))
-    found = F.array_distinct(F.when(F.size(found) > 0, found).otherwise(F.array(line)))
-    hashes = F.sort_array(F.transform(found, lambda x: F.xxhash64(x)))
+    out = lines(docs).select(*keep, F.array_distinct(F.regexp_extract_all("line", F.lit(STARTS), F.lit(1))).alias("s"))
+    out = out.select(*keep, F.sort_array(F.transform("s", lambda x: F.xxhash64(x))).alias("h"))
+    out = out.select(*keep, F.size("h").alias("n"), F.sort_array(F.concat("h", F.array(*map(F.lit, anchors)))).alias("marked"), F.concat("h", F.slice("h", 1, ROWS)).alias("ring"))
+    starts = [F.array_position("marked", F.lit(a)).cast("int") - j for j, a in enumerate(anchors)]
+    keys = [F.xxhash64(F.lit(j), F.slice("ring", F.when(s > F.col("n"), 1).otherwise(s), F.least(F.col("n"), F.lit(ROWS)))) for j, s in enumerate(starts)]
+    return out.select(*keep, F.array(*keys).alias("keys"))
 
-    def keys(h: Column) -> Column:
-        marked, ring = F.sort_array(F.concat(h, F.array(*map(F.lit, anchors)))), F.concat(h, F.slice(h, 1, ROWS))
-        # of equal values the anchor comes first or last: either way the same for equal sets
-        start = [(F.array_position(marked, F.lit(a)) - j).cast("int") for j, a in enumerate(anchors)]
-        return F.array(*(F.xxhash64(F.lit(j), F.slice(ring, F.when(s > F.size(h), 1).otherwise(s), F.least(F.size(h), F.lit(ROWS)))) for j, s in enumerate(start)))
 
-    return _let(hashes, keys)
+def _small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it holds at most SMALL rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def candidates(signed: DataFrame, hot: int = HOT) -> DataFrame:
-    """Pairs a < b of ids that share a band; signed has id and keys."""
-    rows = signed.select("id", F.explode("keys").alias("key"))
-    picks = [F.min_by("id", F.xxhash64(F.lit(s), "id")).alias(f"p{s}") for s in range(PIVOTS)]
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), *picks).where("low < high")
-    shared = cut(shared)
+def candidates(signs: DataFrame, hot: int = HOT) -> DataFrame:
+    """Pairs a < b of ids that share a band; signs has id and keys."""
+    rows = signs.select("id", F.explode("keys").alias("key"))
+    shared = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
     two = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    members = rows.join(shared.where("n > 2"), "key")
-    few = members.where(F.col("n") <= hot).select("key", "id").distinct()
+    members = cut(rows.join(_small(shared.where("n > 2").select("key", "n")), "key").groupBy("key", "id").agg(F.any_value("n").alias("n")))
+    few, many = members.where(F.col("n") <= hot), members.where(F.col("n") > hot)
     pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    picked = members.where(F.col("n") > hot).select("id", F.explode(F.array_distinct(F.array(*(f"p{s}" for s in range(PIVOTS))))).alias("to")).where("id != to")
+    picks = many.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("id", F.xxhash64(F.lit(k), "key", "id")) for k in range(PIVOTS)))).alias("to"))
+    picked = many.join(picks, "key").select("id", F.explode("to").alias("to")).where("id != to")
     stars = picked.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
     return two.union(pairs).union(stars).distinct()
 
@@ -85,11 +85,11 @@ def shingles(line: Column) -> Column:
 
 def verified(pairs: DataFrame, each: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs at `similarity` or more; each has id and line."""
+    pairs = cut(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = each.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
+    known = each.select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
     known = cut(known)
     both = pairs.join(known.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    # sets of very different sizes can't reach the similarity: a set has at most as many shingles as its line characters
     sets = both.select("a", "b", shingles(F.col("x")).alias("s"), shingles(F.col("y")).alias("t"))
     common = sets.select("a", "b", F.size("s").alias("s"), F.size("t").alias("t"), F.size(F.array_intersect("s", "t")).alias("c"))
     return common.where(F.col("c") >= similarity * (F.col("s") + F.col("t") - F.col("c"))).select("a", "b")
@@ -97,16 +97,14 @@ def verified(pairs: DataFrame, each: DataFrame, similarity: float = SIMILARITY)
 
 def removed(docs: DataFrame, hot: int = HOT, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and gone (sorted places of the lines that go) for each doc_id that loses lines; null doc_id as one."""
-    each = lines(docs)
-    signed = cut(each.select("id", bands(F.col("line")).alias("keys")))
-    links = components(verified(candidates(signed, hot), each, similarity))
-    spot = each.select("doc_id", "pos", "id", place(F.col("doc_id"), F.col("pos")).alias("place"))
+    signs = cut(signed(docs))
+    links = components(verified(candidates(signs, hot), lines(docs), similarity))
+    spot = signs.select("doc_id", "pos", "id", place(F.col("doc_id"), F.col("pos")).alias("place"))
     first = spot.groupBy("id").agg(F.min("place").alias("first"), F.max("place").alias("final"))
     named = first.join(links.withColumnRenamed("node", "id"), "id", "left").where((F.col("first") < F.col("final")) | F.col("root").isNotNull())
     named = cut(named.select("id", "first", F.coalesce("root", "id").alias("root")))
     best = named.groupBy("root").agg(F.min("first").alias("best"))
-    choice = named.join(best, "root").select("id", "best")
-    out = spot.join(choice, "id").where(F.col("place") != F.col("best"))
+    out = spot.join(_small(named.join(best, "root").select("id", "best")), "id").where(F.col("place") != F.col("best"))
     return out.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
