@@ -1,16 +1,18 @@
 """Operator 2, benchmark decontamination by latent semantic retrieval.
 
-Words (white-space separated, lower case, outer punctuation cut off) are hashed to `FEATURES` places. Their
-inverse document frequencies come from all documents. A randomised SVD of the benchmark's TF-IDF passages gives
-the latent space: every partition multiplies its passages with a random matrix, the products are summed by
-feature, and one more multiplication sharpens the basis; what reaches the driver is bounded by FEATURES times RANK.
+Texts are lower-cased, ASCII punctuation counts as white space, and words are looked up among those of the benchmark
+(Arrow kernels; no word is handled in Python). Document frequencies of those words come from all documents; a word
+that the benchmark lacks weighs as the rarest. A randomised SVD of the benchmark's TF-IDF passages gives the latent
+space: every partition multiplies its passages with a random matrix, the products are summed by word, and one more
+multiplication sharpens the basis; what reaches the driver is bounded by the benchmark's words times RANK.
 Every text is then cut into windows of 24 words that overlap by half. A window that puts enough of its weight on
 words of the benchmark is compared with all benchmark passages by the cosine of the latent vectors; candidates are
 verified in the same pass: the longest common subsequence of words (weighted by inverse document frequency) must
 cover `COVER` of the passage, or `PARAPHRASE` of it with the words of the answer (the last quarter) present.
 
-The benchmark is a stated set of queries; it is taken in blocks of `BLOCK` passages, each a bounded broadcast.
-Results: one row for each row of docs and item found in it; null or empty texts and items have none.
+The benchmark is a stated set of queries; it is taken in blocks of up to `BLOCK` passages, each a bounded broadcast
+(a passage has at most 48 words), and each with a space of its own. Results: one row for each row of docs and item
+found in it; null or empty texts and items have none.
 """
 
 from __future__ import annotations
@@ -26,40 +28,64 @@ from pyspark.sql import functions as F
 
 from veridra.llm.common import cut, text_slices
 
-FEATURES, RANK, OVERSAMPLE, SEED = 1 << 16, 128, 16, 7
+RANK, OVERSAMPLE, SEED = 128, 16, 7
 STEP, PASSAGE, BLOCK = 12, 48, 20_000
-COSINE, ENERGY, COVER, PARAPHRASE, ANSWER = 0.4, 0.08, 0.6, 0.4, 0.8
-PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&-_/\\“”‘’«»…"
+#: Least cosine in the latent space, least cosine with all of the window (words outside the benchmark included), least
+#: share of the window's weight on the benchmark's words; then what the verification asks for.
+COSINE, WHOLE, ENERGY, COVER, PARAPHRASE, ANSWER = 0.4, 0.2, 0.1, 0.6, 0.4, 0.8
 HITS = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
+_BLANK = bytes(32 if chr(c) in ".,;:!?\"'()[]{}<>|*#$%&-_/\\" else c for c in range(256))
 
 
-def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Of each word: its row, its code in the list of words, and its feature; then that list."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(text.cast(pa.string()), ""))
-    rows, flat = pc.list_parent_indices(lists), pc.list_flatten(lists).dictionary_encode()
-    names = pc.utf8_trim(pc.utf8_lower(flat.dictionary.cast(pa.string())), characters=PUNCTUATION).to_pylist()
-    feature = np.fromiter((zlib.crc32(w.encode()) % FEATURES if w else -1 for w in names), np.int64, len(names))
-    code = np.asarray(flat.indices, dtype=np.int64)
-    real = feature[code] >= 0 if len(names) else np.zeros(0, bool)
-    code = code[real]
-    return np.asarray(rows, dtype=np.int64)[real], code, feature[code], names
+def words(text: pa.Array) -> tuple[np.ndarray, pa.StringArray]:
+    """The row of each word, and the words."""
+    low = pc.utf8_lower(pc.fill_null(text.cast(pa.large_string()), ""))
+    if low.null_count or low.offset:
+        low = pa.concat_arrays([low])
+    _, offsets, data = low.buffers()
+    plain = pa.LargeStringArray.from_buffers(len(low), offsets, pa.py_buffer(data.to_pybytes().translate(_BLANK)) if data else pa.py_buffer(b""))
+    lists = pc.ascii_split_whitespace(plain)
+    rows, flat = pc.list_parent_indices(lists), pc.list_flatten(lists)
+    real = pc.greater(pc.binary_length(flat), 0)
+    return np.asarray(rows.filter(real), dtype=np.int64), flat.filter(real)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, 8_000_000):
-        row, _, feature, _ = tokens(batch.column(0))
-        pairs = np.unique(row * FEATURES + feature)
-        found, n = np.unique(pairs % FEATURES, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["feature", "n"])
+def coded(text: pa.Array, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The row of each word, its place in the vocabulary (-1: none), and the words."""
+    row, flat = words(text)
+    code = np.asarray(pc.fill_null(pc.index_in(flat, value_set=vocab), -1), dtype=np.int32)
+    return row, code, flat
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log of documents over documents with the feature, for each feature."""
-    counts = docs.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(FEATURES)
-    out[np.asarray(counts["feature"].combine_chunks(), dtype=np.int64)] = np.asarray(counts["n"].combine_chunks(), dtype=np.float64)
-    total = docs.count()
-    return np.log((total + 1) / (out + 1)).astype(np.float32) + np.float32(0.01)
+def vocabulary(runs: list[str]) -> pa.Array:
+    return pc.unique(words(pa.array(runs, pa.string()))[1]).cast(pa.large_string())
+
+
+def inverse_frequencies(docs: DataFrame, vocab: pa.Array) -> tuple[np.ndarray, float]:
+    """log of documents over documents with the word, for each word of the vocabulary, and for a word met once."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        total, seen = 0, np.zeros(len(known), np.int64)
+        for batch in text_slices(batches, 4_000_000):
+            row, code, _ = coded(batch.column(0), known)
+            total += batch.num_rows
+            row, code = row[code >= 0], code[code >= 0]
+            for k in range(0, batch.num_rows, 1024):  # a bit for each text and word
+                a, b = np.searchsorted(row, [k, k + 1024])
+                there = np.zeros((min(1024, batch.num_rows - k), len(known)), bool)
+                there[row[a:b] - k, code[a:b]] = True
+                seen += there.sum(axis=0)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[total, seen[at]])], names=["word", "n"])
+
+    counts = docs.select("text").mapInArrow(part, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    at, n = (np.asarray(counts[c].combine_chunks(), dtype=np.int64) for c in ("word", "n"))
+    total = int(n[at < 0].sum())
+    out = np.zeros(len(vocab))
+    out[at[at >= 0]] = n[at >= 0]
+    return (np.log((total + 1) / (out + 1)) + 0.01).astype(np.float32), float(np.log((total + 1) / 2) + 0.01)
 
 
 def passages(benchmark: DataFrame) -> DataFrame:
@@ -70,55 +96,49 @@ def passages(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", words.alias("words")).where(F.size("words") > 0).select("item_id", F.explode(runs).alias("text")).distinct()
 
 
-def _times(runs: DataFrame, idf: np.ndarray, right: np.ndarray | None, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and rows of A' (A right), where A holds the normed passages; without right, of A' times a random matrix."""
+def _times(runs: DataFrame, vocab: pa.Array, idf: np.ndarray, right: np.ndarray | None, seed: int = SEED) -> np.ndarray:
+    """A' (A right), where A holds the normed passages; without right, A' times a random matrix."""
     width = RANK + OVERSAMPLE
-    shared = runs.sparkSession.sparkContext.broadcast((idf, right))
+    shared = runs.sparkSession.sparkContext.broadcast((vocab, idf, right))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, right = shared.value
+        vocab, idf, right = shared.value
         for batch in text_slices(batches, 500_000):
-            row, _, feature, _ = tokens(batch.column(0))
+            row, code, _ = coded(batch.column(0), vocab)
+            row, code = row[code >= 0], code[code >= 0]
             if not len(row):
                 continue
-            weight = idf[feature]
+            weight = idf[code]
             norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=batch.num_rows))
             weight = weight / np.maximum(norm[row], 1e-9)
             if right is None:  # the same row of the random matrix for the same passage, wherever it is
                 left = np.stack([np.random.default_rng([seed, zlib.crc32(t.encode())]).standard_normal(width) for t in batch.column(0).to_pylist()])
             else:
                 left = np.zeros((batch.num_rows, right.shape[1]))
-                np.add.at(left, row, weight[:, None] * right[feature])
-            found, at = np.unique(feature, return_inverse=True)
+                np.add.at(left, row, weight[:, None] * right[code])
+            found, at = np.unique(code, return_inverse=True)
             out = np.zeros((len(found), left.shape[1]))
             np.add.at(out, at, weight[:, None] * left[row])
             k = out.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(found, k).astype(np.int32)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(found))), pa.array(out.ravel())], names=["feature", "j", "v"])
-
-    sums = runs.select("text").mapInArrow(part, "feature int, j int, v double").groupBy("feature", "j").agg(F.sum("v").alias("v")).toArrow()
-    feature, j, v = (np.asarray(sums[c].combine_chunks()) for c in ("feature", "j", "v"))
-    found, at = np.unique(feature, return_inverse=True)
-    out = np.zeros((len(found), (int(j.max()) + 1) if len(j) else 1))
-    out[at, j] = v
-    return found, out
-
-
-def latent_basis(runs: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """Orthonormal columns (at most RANK) over the features that span the leading right singular vectors."""
-    found, sketch = _times(runs, idf, None)
-    if not len(found):
-        return np.zeros((FEATURES, 1), np.float32)
-    start = np.zeros((FEATURES, min(sketch.shape[1], len(found))), np.float32)
-    start[found] = np.linalg.qr(sketch)[0]
-    found, product = _times(runs, idf, start)
-    left, size, _ = np.linalg.svd(product, full_matrices=False)
-    keep = min(RANK, int((size > 1e-6 * size[0]).sum()))
-    basis = np.zeros((FEATURES, keep), np.float32)
-    basis[found] = left[:, :keep]
-    return basis
-
-
-def weighted_lcs(a: list[str], weight: list[float], b: list[str]) -> float:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(found, k).astype(np.int32)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(found))), pa.array(out.ravel())], names=["word", "j", "v"])
+
+    sums = runs.select("text").mapInArrow(part, "word int, j int, v double").groupBy("word", "j").agg(F.sum("v").alias("v")).toArrow()
+    word, j, v = (np.asarray(sums[c].combine_chunks()) for c in ("word", "j", "v"))
+    out = np.zeros((len(vocab), (int(j.max()) + 1) if len(j) else 1))
+    out[word, j] = v
+    return out
+
+
+def latent_basis(runs: DataFrame, vocab: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Orthonormal columns (at most RANK) over the words that span the leading right singular vectors."""
+    if not len(vocab):
+        return np.zeros((0, 1), np.float32)
+    start = np.linalg.qr(_times(runs, vocab, idf, None))[0]
+    left, size, _ = np.linalg.svd(_times(runs, vocab, idf, start), full_matrices=False)
+    return left[:, : min(RANK, int((size > 1e-6 * size[0]).sum()))].astype(np.float32)
+
+
+def weighted_lcs(a: list, weight: list[float], b: list) -> float:
     """The greatest weight of words of a that are a common subsequence of a and b."""
     at = {}
     for k, w in enumerate(b):
@@ -136,70 +156,68 @@ def weighted_lcs(a: list[str], weight: list[float], b: list[str]) -> float:
 class Index:
     """Latent vectors of benchmark passages, and the search of texts against them."""
 
-    def __init__(self, items: list[int], runs: list[str], idf: np.ndarray, basis: np.ndarray):
-        row, code, feature, names = tokens(pa.array(runs, pa.string()))
-        self.items, self.idf = items, idf
-        self.place = np.full(FEATURES, -1, np.int32)
-        used = np.unique(feature)
-        self.place[used] = np.arange(len(used))
-        self.inside = np.zeros(FEATURES, np.float32)
-        self.inside[used] = idf[used] ** 2
-        self.square = idf**2
-        self.vectors = (idf[used, None] * basis[used]).astype(np.float32)
+    def __init__(self, items: list[int], runs: list[str], vocab: pa.Array, idf: np.ndarray, rare: float, basis: np.ndarray):
+        row, code, flat = coded(pa.array(runs, pa.string()), vocab)
+        self.items, self.vocab, self.idf = items, vocab, idf
+        self.inside, self.square = np.r_[idf**2, 0].astype(np.float32), np.r_[idf**2, rare**2].astype(np.float32)  # the last: any other word
+        self.vectors = (idf[:, None] * basis).astype(np.float32)
         latent = np.zeros((len(runs), basis.shape[1]), np.float32)
-        np.add.at(latent, row, self.vectors[self.place[feature]])
-        self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        np.add.at(latent, row, self.vectors[code])
+        self.latent = np.ascontiguousarray((latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T)
         cuts = np.searchsorted(row, np.arange(len(runs) + 1))
-        self.words = [[names[c] for c in code[a:b]] for a, b in zip(cuts, cuts[1:])]
-        self.weights = [idf[feature[a:b]].tolist() for a, b in zip(cuts, cuts[1:])]
+        self.passages = [(code[a:b].tolist(), idf[code[a:b]].tolist(), float(idf[code[a:b]].sum())) for a, b in zip(cuts, cuts[1:])]
 
-    def windows(self, row: np.ndarray, feature: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """Start of a window's first block, end of its last, number of the passage, and cosine, of each candidate."""
+    def windows(self, row: np.ndarray, code: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """Start of a window, its end, number of the passage, and cosine, of each candidate."""
         if not len(row) or not len(self.items):
             return
-        index = np.arange(len(row))
         first = np.r_[0, np.flatnonzero(row[1:] != row[:-1]) + 1]
-        since = index - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        since = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
         start = np.flatnonzero(since % STEP == 0)
         end = np.r_[start[1:], len(row)]
-        whole, inside = (np.add.reduceat(x[feature], start) for x in (self.square, self.inside))
+        whole, inside = (np.add.reduceat(x[code], start) for x in (self.square, self.inside))
         joins = np.r_[row[start[1:]] == row[start[:-1]], False]  # the next block is of the same text
-        after = np.where(joins, np.r_[whole[1:], 0], 0), np.where(joins, np.r_[inside[1:], 0], 0)
+        whole, inside = (x + np.where(joins, np.r_[x[1:], 0], 0) for x in (whole, inside))
         # a text's last block alone is no window, unless it is the only one
         alone = ~joins & ~np.r_[False, joins[:-1]]
-        likely = np.flatnonzero((joins | alone) & (inside + after[1] >= ENERGY * (whole + after[0])) & (inside > -1))
-        for k in range(0, len(likely), 4096):
-            part = likely[k : k + 4096]
+        likely = np.flatnonzero((joins | alone) & (inside >= ENERGY * whole))
+        for k in range(0, len(likely), 2048):
+            part = likely[k : k + 2048]
             stop = np.where(joins[part], end[np.minimum(part + 1, len(end) - 1)], end[part])
             size = stop - start[part]
             at = np.repeat(start[part] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            place = self.place[feature[at]]
-            own = np.repeat(np.arange(len(part)), size)[place >= 0]
-            place = place[place >= 0]
+            own = np.repeat(np.arange(len(part)), size)
+            own, place = own[code[at] >= 0], code[at][code[at] >= 0]
             if not len(place):
                 continue
-            latent = np.zeros((len(part), self.vectors.shape[1]), np.float32)
             begins = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1]
-            latent[own[begins]] = np.add.reduceat(self.vectors[place], begins, axis=0)
-            cosine = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)) @ self.latent.T
-            for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                yield int(start[part[w]]), int(stop[w]), int(p), float(cosine[w, p])
+            latent = np.add.reduceat(self.vectors[place], begins, axis=0)
+            norm, at = np.maximum(np.linalg.norm(latent, axis=1), 1e-9), own[begins]
+            dot = latent @ self.latent
+            least = np.maximum(COSINE * norm, WHOLE * np.sqrt(whole[part[at]])).astype(np.float32)
+            for flat in np.flatnonzero((dot >= least[:, None]).ravel()).tolist():
+                w, p = divmod(flat, dot.shape[1])
+                yield int(start[part[at[w]]]), int(stop[at[w]]), p, float(dot[w, p] / norm[w])
 
     def search(self, text: pa.Array) -> list[tuple[int, int, float, float, float]]:
         """Row, item, cosine, share of the subsequence and of the answer, of everything verified."""
-        row, code, feature, names = tokens(text)
+        row, code, _ = coded(text, self.vocab)
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for a, b, p, cosine in self.windows(row, feature):
+        for a, b, p, cosine in self.windows(row, code):
             key = int(row[a]), self.items[p]
             if found.get(key, (0, 0, 0))[1] >= 0.999:
                 continue
-            size, mine = len(self.words[p]), row[a]
+            passage, weights, total = self.passages[p]
+            size = len(passage)
             a, b = max(0, a - size), min(len(row), b + size)
-            around = [names[c] for c, r in zip(code[a:b].tolist(), row[a:b].tolist(), strict=True) if r == mine]
-            weights, tail = self.weights[p], max(1, size // 4)
-            share = weighted_lcs(self.words[p], weights, around) / max(sum(weights), 1e-9)
+            around = [c for c, r in zip(code[a:b].tolist(), row[a:b].tolist(), strict=True) if r == key[0]]
             there = set(around)
-            answer = sum(x for w, x in zip(self.words[p][-tail:], weights[-tail:], strict=True) if w in there) / max(sum(weights[-tail:]), 1e-9)
+            if sum([x for c, x in zip(passage, weights, strict=True) if c in there]) < PARAPHRASE * total:
+                continue  # words in common bound the subsequence from above
+            own = set(passage)
+            share = weighted_lcs(passage, weights, [c for c in around if c in own]) / max(total, 1e-9)
+            tail = slice(size - max(1, size // 4), size)
+            answer = sum([x for c, x in zip(passage[tail], weights[tail], strict=True) if c in there]) / max(sum(weights[tail]), 1e-9)
             if share >= COVER or (share >= PARAPHRASE and answer >= ANSWER):
                 found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (cosine, share, answer), key=lambda x: (x[1], x[0]))
         return [(r, i, *x) for (r, i), x in found.items()]
@@ -209,14 +227,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share and answer_share of every leak, and h (a hash of the row's text)."""
     spark = docs.sparkSession
     runs = cut(passages(benchmark.select("item_id", "text")))
-    idf = inverse_frequencies(docs)
-    basis = latent_basis(runs, idf)
-    n = runs.count()
-    blocks, rest = max(1, -(-n // BLOCK)), docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    blocks, rest = max(1, -(-runs.count() // BLOCK)), docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     out = None
     for k in range(blocks):
-        own = runs.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow() if blocks > 1 else runs.toArrow()
-        index = spark.sparkContext.broadcast(Index(own["item_id"].to_pylist(), own["text"].to_pylist(), idf, basis))
+        block = runs.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        own = block.toArrow()
+        vocab = vocabulary(own["text"].to_pylist())
+        idf, rare = inverse_frequencies(docs, vocab)
+        index = spark.sparkContext.broadcast(Index(own["item_id"].to_pylist(), own["text"].to_pylist(), vocab, idf, rare, latent_basis(block, vocab, idf)))
 
         def rows(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in text_slices(batches, 4_000_000):
