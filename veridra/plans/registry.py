@@ -24,7 +24,8 @@ from veridra.streaming.stream import stateless
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-K = F.col("_row_ix").alias("k")
+def K() -> Column:  # noqa: N802  the key of a transaction in results
+    return F.col("_row_ix").alias("k")
 
 # A small code reference; the first code comes twice, and the later row counts.
 REFERENCE = (("5411", "Groceries"), ("5812", "Restaurants"), ("742", "Veterinary"), ("8220", "Colleges"), ("5999", "Other retail"), ("5411", "Supermarkets"))
@@ -91,7 +92,7 @@ def src_csv(spark, sf_dir):
 @query
 def dates_parse(spark, sf_dir):
     df = dates.DateNormalizer()(tx(spark, sf_dir))
-    return df.select(K, stamp_text("TXN_DATE_TIME_CLEANED").alias("txn_date_time"), stamp_text("SETTLE_DATE_CLEANED").alias("settle_date"))
+    return df.select(K(), stamp_text("TXN_DATE_TIME_CLEANED").alias("txn_date_time"), stamp_text("SETTLE_DATE_CLEANED").alias("settle_date"))
 
 
 @query
@@ -106,12 +107,12 @@ def dates_formats(spark, sf_dir):
 
 @query
 def code_pad(spark, sf_dir):
-    return codes.CodeNormalizer()(tx(spark, sf_dir)).select(K, F.col("PROCESSING_CODE_CLEANED").alias("processing_code"), F.col("MCC_CODE_CLEANED").alias("mcc_code"))
+    return codes.CodeNormalizer()(tx(spark, sf_dir)).select(K(), F.col("PROCESSING_CODE_CLEANED").alias("processing_code"), F.col("MCC_CODE_CLEANED").alias("mcc_code"))
 
 
 @query
 def code_label(spark, sf_dir):
-    return codes.CodeNormalizer()(tx(spark, sf_dir)).select(K, F.col("PROCESSING_TYPE_CLEANED").alias("processing_type"))
+    return codes.CodeNormalizer()(tx(spark, sf_dir)).select(K(), F.col("PROCESSING_TYPE_CLEANED").alias("processing_type"))
 
 
 @query
@@ -121,7 +122,7 @@ def code_disagree(spark, sf_dir):
 
 @query
 def mcc_category(spark, sf_dir):
-    return codes.CodeNormalizer(mcc_reference=reference(spark))(tx(spark, sf_dir)).select(K, F.col("MCC_CATEGORY").alias("category"))
+    return codes.CodeNormalizer(mcc_reference=reference(spark))(tx(spark, sf_dir)).select(K(), F.col("MCC_CATEGORY").alias("category"))
 
 
 @query
@@ -137,7 +138,7 @@ def _amounts(spark, sf_dir):
 
 @query
 def amount_parse(spark, sf_dir):
-    return tx(spark, sf_dir).select(K, F.round(amounts.parse(F.col("TXN_AMOUNT"), F.col("TXN_CCY")) + 0.0, 2).alias("amount"))
+    return tx(spark, sf_dir).select(K(), F.round(amounts.parse(F.col("TXN_AMOUNT"), F.col("TXN_CCY")) + 0.0, 2).alias("amount"))
 
 
 @query
@@ -149,7 +150,7 @@ def amount_separator(spark, sf_dir):
 
 @query
 def amount_sign(spark, sf_dir):
-    return _amounts(spark, sf_dir).select(K, F.round("TXN_AMOUNT_CLEANED", 2).alias("amount"), F.col("VALIDATION_FLAGS").alias("flags"))
+    return _amounts(spark, sf_dir).select(K(), F.round("TXN_AMOUNT_CLEANED", 2).alias("amount"), F.col("VALIDATION_FLAGS").alias("flags"))
 
 
 @query
@@ -159,17 +160,17 @@ def amount_metrics(spark, sf_dir):
 
 @query
 def terminal_flag(spark, sf_dir):
-    return missing.MissingValueHandler()(tx(spark, sf_dir).select("TERMINAL_ID", "_row_ix")).select(K, F.col("HAS_TERMINAL").alias("has_terminal"))
+    return missing.MissingValueHandler()(tx(spark, sf_dir).select("TERMINAL_ID", "_row_ix")).select(K(), F.col("HAS_TERMINAL").alias("has_terminal"))
 
 
 @query
 def auth_valid(spark, sf_dir):
-    return missing.MissingValueHandler()(tx(spark, sf_dir).select("AUTH_CODE", "_row_ix")).select(K, F.col("AUTH_CODE_VALID").alias("auth_code_valid"))
+    return missing.MissingValueHandler()(tx(spark, sf_dir).select("AUTH_CODE", "_row_ix")).select(K(), F.col("AUTH_CODE_VALID").alias("auth_code_valid"))
 
 
 @query
 def settle_status(spark, sf_dir):
-    return missing.MissingValueHandler()(dates.DateNormalizer()(tx(spark, sf_dir))).select(K, F.col("SETTLE_DATE_STATUS").alias("status"))
+    return missing.MissingValueHandler()(dates.DateNormalizer()(tx(spark, sf_dir))).select(K(), F.col("SETTLE_DATE_STATUS").alias("status"))
 
 
 @query
@@ -193,7 +194,7 @@ def dup_business_key(spark, sf_dir):
 @query
 def dup_id_seq(spark, sf_dir):
     df = dates.DateNormalizer()(tx(spark, sf_dir))
-    return duplicates.DuplicateCleaner()(df).select(K, F.col("TXN_ID_CLEANED").alias("txn_id"))
+    return duplicates.DuplicateCleaner()(df).select(K(), F.col("TXN_ID_CLEANED").alias("txn_id"))
 
 
 def _geo(spark, sf_dir):
@@ -202,7 +203,7 @@ def _geo(spark, sf_dir):
 
 def _geo_query(name: str, column: str) -> None:
     def f(spark, sf_dir):
-        return _geo(spark, sf_dir).select(K, F.col(column).alias("value"))
+        return _geo(spark, sf_dir).select(K(), F.col(column).alias("value"))
 
     f.__name__ = name
     query(f)
@@ -219,17 +220,17 @@ def geo_metrics(spark, sf_dir):
 
 @query
 def merchant_clean(spark, sf_dir):
-    return merchant.cleaned(tx(spark, sf_dir), "MERCHANT_NAME").select(K, F.col("_name").alias("name"))
+    return merchant.cleaned(tx(spark, sf_dir), "MERCHANT_NAME").select(K(), F.col("_name").alias("name"))
 
 
 @query
 def merchant_processor(spark, sf_dir):
-    return merchant.MerchantCleaner()(tx(spark, sf_dir)).select(K, F.col("MERCHANT_PROCESSOR").alias("processor"))
+    return merchant.MerchantCleaner()(tx(spark, sf_dir)).select(K(), F.col("MERCHANT_PROCESSOR").alias("processor"))
 
 
 @query
 def merchant_master(spark, sf_dir):
-    return merchant.MerchantCleaner()(tx(spark, sf_dir)).select(K, F.col("MERCHANT_NAME_CLEANED").alias("name"), F.col("MERCHANT_RECOGNISED").alias("recognised"), F.col("MATCHES_STATUS_CLEANED").alias("status"))
+    return merchant.MerchantCleaner()(tx(spark, sf_dir)).select(K(), F.col("MERCHANT_NAME_CLEANED").alias("name"), F.col("MERCHANT_RECOGNISED").alias("recognised"), F.col("MATCHES_STATUS_CLEANED").alias("status"))
 
 
 @query
@@ -277,19 +278,19 @@ def mcc_binomial(spark, sf_dir):
 def mcc_suggest(spark, sf_dir):
     df = staged("mcc", spark, sf_dir)[1]
     out = mcc.suggested(df, mcc.decisions(mcc.histogram(df)))
-    return out.select(K, F.col("MCC_CODE_SUGGESTED").alias("suggested"), F.col("MCC_CONFIDENCE").alias("confidence"), F.col("_MCC_SIGNAL").alias("signal"))
+    return out.select(K(), F.col("MCC_CODE_SUGGESTED").alias("suggested"), F.col("MCC_CONFIDENCE").alias("confidence"), F.col("_MCC_SIGNAL").alias("signal"))
 
 
 @query
 def mcc_atm(spark, sf_dir):
     step, before, _ = staged("mcc", spark, sf_dir)
     out = step.scored(before)
-    return out.where("_MCC_SIGNAL = 'deterministic'").select(K, F.col("MCC_CODE_SUGGESTED").alias("suggested"), F.col("VALIDATION_FLAGS").alias("flags"))
+    return out.where("_MCC_SIGNAL = 'deterministic'").select(K(), F.col("MCC_CODE_SUGGESTED").alias("suggested"), F.col("VALIDATION_FLAGS").alias("flags"))
 
 
 @query
 def mcc_adopt(spark, sf_dir):
-    return after("mcc", spark, sf_dir).select(K, F.col("MCC_CODE_CLEANED").alias("mcc_code"))
+    return after("mcc", spark, sf_dir).select(K(), F.col("MCC_CODE_CLEANED").alias("mcc_code"))
 
 
 @query
@@ -311,7 +312,7 @@ def _flag_query(name: str, flags: tuple[str, ...]) -> None:
         df = staged("consistency", spark, sf_dir)[1]
         known = dict(ConsistencyValidator().flags(df))
         own = [n for n in known if n.startswith(flags)]
-        return df.select(K, *(F.coalesce(known[n], F.lit(False)).alias(n.replace("[", "_").replace("]", "").lower()) for n in own))
+        return df.select(K(), *(F.coalesce(known[n], F.lit(False)).alias(n.replace("[", "_").replace("]", "").lower()) for n in own))
 
     f.__name__ = name
     query(f)
@@ -360,7 +361,7 @@ def present_names(spark, sf_dir):
 
 @query
 def present_dates(spark, sf_dir):
-    return shown_dates(dates.DateNormalizer()(tx(spark, sf_dir)).select(K, "TXN_DATE_TIME_CLEANED", "SETTLE_DATE_CLEANED")).toDF("k", "txn_date_time_cleaned", "settle_date_cleaned")
+    return shown_dates(dates.DateNormalizer()(tx(spark, sf_dir)).select(K(), "TXN_DATE_TIME_CLEANED", "SETTLE_DATE_CLEANED")).toDF("k", "txn_date_time_cleaned", "settle_date_cleaned")
 
 
 @query
@@ -396,7 +397,7 @@ def _stamps(spark, sf_dir, **config):
 def _stamp_query(name: str, *columns: str) -> None:
     def f(spark, sf_dir):
         out = _stamps(spark, sf_dir)
-        return out.select(K, *((stamp_text(c) if kind.startswith("timestamp") else F.col(c)).alias(c.lower()) for c in columns for n, kind in out.dtypes if n == c))
+        return out.select(K(), *((stamp_text(c) if kind.startswith("timestamp") else F.col(c)).alias(c.lower()) for c in columns for n, kind in out.dtypes if n == c))
 
     f.__name__ = name
     query(f)
@@ -410,13 +411,13 @@ for _name, _columns in {
 
 @query
 def ts_epoch(spark, sf_dir):
-    return _stamps(spark, sf_dir).where("TXN_TS_SOURCE = 'OFFSET_APPLIED'").select(K, stamp_text("TXN_TS").alias("txn_ts"), F.col("TXN_TS_PRECISION").alias("txn_ts_precision"))
+    return _stamps(spark, sf_dir).where("TXN_TS_SOURCE = 'OFFSET_APPLIED'").select(K(), stamp_text("TXN_TS").alias("txn_ts"), F.col("TXN_TS_PRECISION").alias("txn_ts_precision"))
 
 
 def _how(name: str, how: str) -> None:
     def f(spark, sf_dir):
         out = _stamps(spark, sf_dir, keep_how=True)
-        return out.where(F.col("_how").startswith(how)).select(K, F.col("_how").alias("how"), stamp_text("TXN_TS").alias("txn_ts"))
+        return out.where(F.col("_how").startswith(how)).select(K(), F.col("_how").alias("how"), stamp_text("TXN_TS").alias("txn_ts"))
 
     f.__name__ = name
     query(f)
@@ -454,17 +455,17 @@ def _macro(spark, sf_dir):
 
 @query
 def macro_recover(spark, sf_dir):
-    return _macro(spark, sf_dir).select(K, F.col("INTEREST_RATE_INDEX_CLEANED").alias("rate"), F.col("INFLATION_INDEX_CLEANED").alias("inflation"))
+    return _macro(spark, sf_dir).select(K(), F.col("INTEREST_RATE_INDEX_CLEANED").alias("rate"), F.col("INFLATION_INDEX_CLEANED").alias("inflation"))
 
 
 @query
 def macro_coverage(spark, sf_dir):
-    return _macro(spark, sf_dir).select(K, *(F.col(f"{c}_COVERAGE").alias(c.lower()) for c, _ in rules.MACRO_SERIES))
+    return _macro(spark, sf_dir).select(K(), *(F.col(f"{c}_COVERAGE").alias(c.lower()) for c, _ in rules.MACRO_SERIES))
 
 
 @query
 def macro_coerce(spark, sf_dir):
-    return _macro(spark, sf_dir).select(K, F.col("IS_HOLIDAY_MONTH_CLEANED").alias("holiday"))
+    return _macro(spark, sf_dir).select(K(), F.col("IS_HOLIDAY_MONTH_CLEANED").alias("holiday"))
 
 
 # -- profiles
@@ -529,7 +530,7 @@ def eda_code_pairs(spark, sf_dir):
 @query
 def eda_lenient(spark, sf_dir):
     df = dirty.forecast(spark, sf_dir)
-    return df.select(K, stamp_text(profile.lenient(text(F.col("TXN_DATE_TIME")))).alias("seen"))
+    return df.select(K(), stamp_text(profile.lenient(text(F.col("TXN_DATE_TIME")))).alias("seen"))
 
 
 @query
@@ -569,6 +570,6 @@ def seq_spearman(spark, sf_dir):
 @query
 def stream_stateless(spark, sf_dir):
     """The steps that keep no state, as a stream over the written dirty view; same rows as in batch."""
-    return stateless(spark, tx(spark, sf_dir), staging(spark)).select(K, stamp_text("TXN_DATE_TIME_CLEANED").alias("txn_date_time"), F.col("MERCHANT_NAME_CLEANED").alias("name"), F.col("MERCHANT_CITY_CLEANED").alias("city"))
+    return stateless(spark, tx(spark, sf_dir), staging(spark)).select(K(), stamp_text("TXN_DATE_TIME_CLEANED").alias("txn_date_time"), F.col("MERCHANT_NAME_CLEANED").alias("name"), F.col("MERCHANT_CITY_CLEANED").alias("city"))
 
 
