@@ -331,8 +331,9 @@ oracle("ts_ambiguous", "SELECT k, amb AS txn_ts_ambiguous FROM v", STAMPS)
 oracle("ts_status", "SELECT k, status AS txn_ts_status FROM v", STAMPS)
 oracle("ts_settle", f"SELECT k, {stamp('settled')} AS settle_date_cleaned FROM v", STAMPS)
 oracle("ts_offset", f"SELECT k, CASE WHEN txn_ts IS NULL THEN '' WHEN {summer_local('txn_ts')} THEN 'UTC+3' ELSE 'UTC+2' END AS txn_ts_utc_offset FROM v", STAMPS)
+_no_figures = STAMPS.replace("slash AND o0 IS NULL AND coalesce", "false AND coalesce").replace("slash AND o1 IS NULL AND coalesce", "false AND coalesce").replace("PARTITION BY account ORDER BY k ROWS", "PARTITION BY USER_ID ORDER BY k ROWS")
 for _name, _prefix in {"ts_slash_forced": "forced", "ts_slash_macro": "macro", "ts_slash_bracket": "bracket"}.items():
-    oracle(_name, f"SELECT k, how, {stamp('txn_ts')} AS txn_ts FROM v WHERE starts_with(how, '{_prefix}')", STAMPS)
+    oracle(_name, f"SELECT k, how, {stamp('txn_ts')} AS txn_ts FROM v WHERE starts_with(how, '{_prefix}')", _no_figures if _prefix == "bracket" else STAMPS)
 oracle(
     "ts_metrics",
     counts(
