@@ -79,8 +79,19 @@ def candidates(signs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def shingles(line: Column) -> Column:
-    found = F.regexp_extract_all(line, F.lit(ALL), F.lit(1))
-    return F.array_distinct(F.when(F.size(found) > 0, found).otherwise(F.array(line)))
+    found = F.when(F.length(line) >= SHINGLE, F.regexp_extract_all(line, F.lit(ALL), F.lit(1))).otherwise(F.array(line))
+    return F.array_distinct(found)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once: as plain columns the sets would be made anew at every use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def jaccard(x: Column, y: Column) -> Column:
+    """Similarity of the sets of all shingles of two lines (a line shorter than a shingle is its own)."""
+    both = F.struct(shingles(x).alias("s"), shingles(y).alias("t"))
+    return _let(both, lambda v: _let(F.size(F.array_intersect(v["s"], v["t"])), lambda c: c / (F.size(v["s"]) + F.size(v["t"]) - c)))
 
 
 def verified(pairs: DataFrame, each: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -90,9 +101,7 @@ def verified(pairs: DataFrame, each: DataFrame, similarity: float = SIMILARITY)
     known = each.select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
     known = cut(known)
     both = pairs.join(known.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    sets = both.select("a", "b", shingles(F.col("x")).alias("s"), shingles(F.col("y")).alias("t"))
-    common = sets.select("a", "b", F.size("s").alias("s"), F.size("t").alias("t"), F.size(F.array_intersect("s", "t")).alias("c"))
-    return common.where(F.col("c") >= similarity * (F.col("s") + F.col("t") - F.col("c"))).select("a", "b")
+    return both.where(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
 
 
 def removed(docs: DataFrame, hot: int = HOT, similarity: float = SIMILARITY) -> DataFrame:
