@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from veridra.llm.common import cut, text_slices
 
 CONTEXTS, HOT_WORDS = 1 << 16, 1 << 20
-TRAIN_SLICE = 16_000_000
+TRAIN_SLICE = 5_000_000
 #: Stands for the end token in counts: no word holds a space.
 END = " "
 
@@ -173,7 +173,7 @@ def score(docs: DataFrame, contexts: int = CONTEXTS, hot_words: int = HOT_WORDS)
         """Two rows of sums for each document (their words match nothing), and a row for each of its other words."""
         names, logs = known.value
         end = pc.index_in(pa.scalar(END), value_set=names).as_py() if len(names) else None
-        for batch in text_slices(batches, 4_000_000):
+        for batch in text_slices(batches, 2_000_000):
             row, words = _words(batch)
             k, code = batch.num_rows, np.asarray(words.indices, dtype=np.int64)
             at = pc.index_in(words.dictionary.cast(pa.string()), value_set=names)
