@@ -30,7 +30,7 @@ SMALL = 1_000_000
 BLANKS = " \t\n\x0b\x0c\r"
 #: Word starts: after white space, and every character of scripts that put no space between words.
 STARTS = rf"(?s)(?=(.{{1,{ANCHORED}}}))(?:[\u0e00-\u9fff]|[^\s\u0e00-\u9fff]+)\s*"
-ALL = rf"(?s)(?=(.{{{SHINGLE}}}))"
+ALL = rf"(?s)(?=(.{{{SHINGLE}}}))."
 NO_ID = "9223372036854775808"
 
 
