@@ -31,6 +31,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Word starts: after white space, and every character of scripts that put no space between words.
 STARTS = rf"(?s)(?=(.{{1,{ANCHORED}}}))(?:[\u0e00-\u9fff]|[^\s\u0e00-\u9fff]+)\s*"
 ALL = rf"(?s)(?=(.{{{SHINGLE}}}))."
+#: A word, or a piece of one, with the spaces around it; the group also has the SHINGLE - 1 characters that follow.
+_WORD = r"\s*(?:[\u0e00-\u9fff]|[^\s\u0e00-\u9fff]{1,32})\s*"
+UNITS = rf"(?s)(?=({_WORD}.{{0,{SHINGLE - 1}}})){_WORD}"
+#: Lines of more characters are verified by their whole sets, in time linear in their length.
+LONG = 4096
 NO_ID = "9223372036854775808"
 
 
@@ -84,14 +89,30 @@ def shingles(line: Column) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    """body(value), with the value worked out once: as plain columns the sets would be made anew at every use."""
+    """body(value), with the value worked out once: as a plain column it would be made anew at every use."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def jaccard(x: Column, y: Column) -> Column:
-    """Similarity of the sets of all shingles of two lines (a line shorter than a shingle is its own)."""
-    both = F.struct(shingles(x).alias("s"), shingles(y).alias("t"))
-    return _let(both, lambda v: _let(F.size(F.array_intersect(v["s"], v["t"])), lambda c: c / (F.size(v["s"]) + F.size(v["t"]) - c)))
+def units(line: Column) -> Column:
+    """The distinct words of a line, each with the spaces around it and the characters that its shingles reach into."""
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(UNITS), F.lit(1)))
+
+
+def missing(x: Column, y: Column) -> Column:
+    """How many shingles of x aren't in y, for lines of SHINGLE characters and more. A shingle of a unit that y has too
+    is in y, so only those of the other units are cut out and looked for. Lines over LONG compare their whole sets."""
+    starts = lambda u: F.sequence(F.lit(1), F.length(u) - (SHINGLE - 1))
+    other = F.filter(F.array_except(units(x), units(y)), lambda u: F.length(u) >= SHINGLE)
+    cut_out = F.array_distinct(F.flatten(F.transform(other, lambda u: F.transform(starts(u), lambda i: F.substring(u, i, F.lit(SHINGLE))))))
+    whole = F.size(F.array_except(shingles(x), shingles(y)))
+    return F.when(F.greatest(F.length(x), F.length(y)) > LONG, whole).otherwise(F.size(F.filter(cut_out, lambda s: ~F.contains(y, s))))
+
+
+def similar(x: Column, y: Column, nx: Column, ny: Column, similarity: float) -> Column:
+    """Whether the sets of all shingles of two different lines, nx and ny in number, have that Jaccard similarity (a line
+    shorter than a shingle is its own). Numbers that are too far apart settle it without looking at the text."""
+    long = F.least(F.length(x), F.length(y)) >= SHINGLE
+    return (F.least(nx, ny) / F.greatest(nx, ny) >= similarity) & long & (_let(missing(x, y), lambda m: (nx - m) / (ny + m)) >= similarity)
 
 
 def verified(pairs: DataFrame, each: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -99,9 +120,9 @@ def verified(pairs: DataFrame, each: DataFrame, similarity: float = SIMILARITY)
     pairs = cut(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     known = each.select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
-    known = cut(known)
-    both = pairs.join(known.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return both.where(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
+    known = cut(known.select("id", "line", F.size(shingles(F.col("line"))).alias("n")))
+    x, y = (known.select(F.col("id").alias(i), F.col("line").alias(t), F.col("n").alias(n)) for i, t, n in (("a", "x", "nx"), ("b", "y", "ny")))
+    return pairs.join(x, "a").join(y, "b").where(similar(*map(F.col, ("x", "y", "nx", "ny")), similarity)).select("a", "b")
 
 
 def removed(docs: DataFrame, hot: int = HOT, similarity: float = SIMILARITY) -> DataFrame:
