@@ -1,8 +1,10 @@
 """Line dedup and decontamination against brute force, and the pipeline that ties the operators together."""
 
 import collections
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veridra.llm import decontam, linededup
@@ -53,6 +55,36 @@ def test_lines_edge_cases(spark):
     assert linededup.report(df.limit(0)).count() == 0
 
 
+def test_similar_equals_brute_force(spark):
+    pick, rows = random.Random(1), [(" ".join(map(str, range(2000))), "x " + " ".join(map(str, range(2000))))]
+    letters = ["a", "b", " ", "é", "中", "\t", "\U0001f600", "\r", "cd "]
+    for _ in range(1500):
+        x = [pick.choice(letters) for _ in range(pick.choice([1, 2, 4, 6, 9, 20, 60, 200]))]
+        y = list(x)
+        for _ in range(pick.randint(0, 6)):
+            i = pick.randrange(len(y) + 1)
+            y[i : i + pick.randint(0, 1)] = [pick.choice(letters)] * pick.randint(0, 2)
+        if x != y and "".join(x).strip() and "".join(y).strip():
+            rows.append(("".join(x), "".join(y)))
+    sets = [[{t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in pair] for pair in rows]
+    df = spark.createDataFrame([(k, *pair, *map(len, sets[k])) for k, pair in enumerate(rows)], "k long, x string, y string, nx int, ny int")
+    got = df.select("k", linededup.similar(*map(F.col, ("x", "y", "nx", "ny")), 0.8).alias("like"), F.size(linededup.shingles(F.col("x"))).alias("n")).collect()
+    assert len(got) == len(rows) and sum(r.like for r in got) > 100
+    for r in got:
+        s, t = sets[r.k]
+        same = rows[r.k][0] == rows[r.k][1] or len(s & t) >= 0.8 * len(s | t)
+        assert r.n == len(s) and (r.like == same or rows[r.k][0] == rows[r.k][1])
+
+
+def test_many_copies_of_few_lines(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    texts = [long] * 40 + [long.replace(f"word{k} ", f"wort{k} ") for k in range(5, 30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in linededup.dedup(df).where("text != ''").collect()] == [0]
+    keys = spark.createDataFrame([(k % 20, [7]) for k in range(200)], "id long, keys array<long>")
+    assert linededup.candidates(keys).count() == 190  # twenty lines in ten copies each: every pair
+
+
 def test_leaks_equal_brute_force(spark):
     root = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/benchmark.parquet")

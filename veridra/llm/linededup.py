@@ -6,8 +6,8 @@ hashes that follow anchor j on it (the three least under the order that starts t
 with about the third power of their similarity). Eight anchors make the banding high-recall: a pair at 0.8 is
 missed about three times in a thousand. What is stored of a line is its place, its hash and its keys, not its text.
 
-Keys that hold two or more lines give pairs: a key of up to `hot` rows all pairs; a larger one links each of its
-lines to four of them picked by hash (other ones under each key), so no key makes more than four rows for a line.
+Keys that hold two or more lines give pairs: a key of up to `hot` different lines (copies count once) all pairs; a
+larger one links each of its lines to four of them picked by hash (other ones under each key), so no key makes more than four rows for a line.
 Pairs are then verified by the exact Jaccard similarity of all their five-character shingles, linked pairs are
 joined by distributed union-find, and of each component the line of the least doc_id and place stays.
 
@@ -74,7 +74,8 @@ def candidates(signs: DataFrame, hot: int = HOT) -> DataFrame:
     rows = signs.select("id", F.explode("keys").alias("key"))
     shared = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
     two = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    members = cut(rows.join(_small(shared.where("n > 2").select("key", "n")), "key").groupBy("key", "id").agg(F.any_value("n").alias("n")))
+    members = cut(rows.join(_small(shared.where("n > 2").select("key")), "key", "left_semi").select("key", "id").distinct())
+    members = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
     few, many = members.where(F.col("n") <= hot), members.where(F.col("n") > hot)
     pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
     picks = many.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("id", F.xxhash64(F.lit(k), "key", "id")) for k in range(PIVOTS)))).alias("to"))
