@@ -107,6 +107,22 @@ def test_paraphrases_and_edge_cases(spark):
     assert decontam.leaks(frame, bench.limit(0)).count() == 0 and decontam.leaks(frame.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("size", [1_000, 5_000, 20_000])
+def test_verbatim_recall_holds_for_large_benchmarks(spark, size):
+    pick, names = random.Random(size), [f"w{k}" for k in range(20_000)]
+    weights = [1 / (k + 1) for k in range(20_000)]
+    prose = lambda n: " ".join(pick.choices(names, weights, k=n))
+    items = [prose(pick.randint(15, 19 if k % 2 else 59)) for k in range(size)]
+    planted = pick.sample(range(size), 200)
+    docs = spark.createDataFrame([(d, f"{prose(60)} {items[i]} {prose(60)}") for d, i in enumerate(planted)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = {r.doc_id: f" {r.text} " for r in docs.collect()}
+    want = {(d, i) for d, t in texts.items() for i, x in enumerate(items) if f" {x} " in t}
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    print(size, len(want), len(want & got), len(got))
+    assert len(want) >= 200 and len(want & got) >= 0.99 * len(want)
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     root, docs, out = tmp_path_factory.mktemp("stages"), spark.read.parquet(f"{TINY}/documents.parquet"), []

@@ -2,22 +2,22 @@
 
 Texts are lower-cased, ASCII punctuation counts as white space, and words are looked up among those of the benchmark
 (Arrow kernels; no word is handled in Python). Document frequencies of those words come from all documents; a word
-that the benchmark lacks weighs as the rarest. A randomised SVD of the benchmark's TF-IDF passages gives the latent
-space: every partition multiplies its passages with a random matrix, the products are summed by word, and one more
-multiplication sharpens the basis; what reaches the driver is bounded by the benchmark's words times RANK.
+that the benchmark lacks weighs as the rarest. Randomised SVDs of the benchmark's TF-IDF passages give the latent
+spaces: each is of GROUP passages, no more than its RANK, so that at any size of the benchmark every passage keeps
+ENERGY_KEPT of its energy (of 20,000 passages in one space of that rank most would keep next to none).
 Every text is then cut into windows of 24 words that overlap by half. A window that puts enough of its weight on
-words of the benchmark is compared with all benchmark passages by the cosine of the latent vectors; candidates are
+words of the benchmark is compared with all benchmark passages by the cosine of the latent vectors (of the words that
+the space knows; others don't count against a window); candidates are
 verified in the same pass: the longest common subsequence of words (weighted by inverse document frequency) must
 cover `COVER` of the passage, or `PARAPHRASE` of it with the words of the answer (the last quarter) present.
 
-The benchmark is a stated set of queries; it is taken in blocks of up to `BLOCK` passages, each a bounded broadcast
-(a passage has at most 48 words), and each with a space of its own. Results: one row for each row of docs and item
+The benchmark is a stated set of queries; it is taken in blocks of up to `BLOCK` passages, which share a vocabulary and
+its frequencies, and searched by `PART` of them, each a bounded broadcast (a passage has at most 48 words). Results: one row for each row of docs and item
 found in it; null or empty texts and items have none.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from veridra.llm.common import cut, text_slices
 
 RANK, OVERSAMPLE, SEED = 128, 16, 7
-STEP, PASSAGE, BLOCK = 12, 48, 20_000
-#: Least cosine in the latent space, least cosine with all of the window (words outside the benchmark included), least
-#: share of the window's weight on the benchmark's words; then what the verification asks for.
-COSINE, WHOLE, ENERGY, COVER, PARAPHRASE, ANSWER = 0.4, 0.2, 0.1, 0.6, 0.4, 0.8
+#: Passages of one latent space (at most RANK), and the least share of each one's energy that the space keeps.
+GROUP, ENERGY_KEPT = RANK, 0.99
+STEP, PASSAGE, BLOCK, PART = 12, 48, 20_000, 4096
+#: Least cosine in the latent space, least share of the window's weight on the benchmark's words; then what the
+#: verification asks for.
+COSINE, ENERGY, COVER, PARAPHRASE, ANSWER = 0.4, 0.1, 0.6, 0.4, 0.8
 HITS = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
 _BLANK = bytes(32 if chr(c) in ".,;:!?\"'()[]{}<>|*#$%&-_/\\" else c for c in range(256))
 
@@ -96,46 +98,31 @@ def passages(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", words.alias("words")).where(F.size("words") > 0).select("item_id", F.explode(runs).alias("text")).distinct()
 
 
-def _times(runs: DataFrame, vocab: pa.Array, idf: np.ndarray, right: np.ndarray | None, seed: int = SEED) -> np.ndarray:
-    """A' (A right), where A holds the normed passages; without right, A' times a random matrix."""
-    width = RANK + OVERSAMPLE
-    shared = runs.sparkSession.sparkContext.broadcast((vocab, idf, right))
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, idf, right = shared.value
-        for batch in text_slices(batches, 500_000):
-            row, code, _ = coded(batch.column(0), vocab)
-            row, code = row[code >= 0], code[code >= 0]
-            if not len(row):
-                continue
-            weight = idf[code]
-            norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=batch.num_rows))
-            weight = weight / np.maximum(norm[row], 1e-9)
-            if right is None:  # the same row of the random matrix for the same passage, wherever it is
-                left = np.stack([np.random.default_rng([seed, zlib.crc32(t.encode())]).standard_normal(width) for t in batch.column(0).to_pylist()])
-            else:
-                left = np.zeros((batch.num_rows, right.shape[1]))
-                np.add.at(left, row, weight[:, None] * right[code])
-            found, at = np.unique(code, return_inverse=True)
-            out = np.zeros((len(found), left.shape[1]))
-            np.add.at(out, at, weight[:, None] * left[row])
-            k = out.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(found, k).astype(np.int32)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(found))), pa.array(out.ravel())], names=["word", "j", "v"])
-
-    sums = runs.select("text").mapInArrow(part, "word int, j int, v double").groupBy("word", "j").agg(F.sum("v").alias("v")).toArrow()
-    word, j, v = (np.asarray(sums[c].combine_chunks()) for c in ("word", "j", "v"))
-    out = np.zeros((len(vocab), (int(j.max()) + 1) if len(j) else 1))
-    out[word, j] = v
-    return out
-
-
-def latent_basis(runs: DataFrame, vocab: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Orthonormal columns (at most RANK) over the words that span the leading right singular vectors."""
-    if not len(vocab):
-        return np.zeros((0, 1), np.float32)
-    start = np.linalg.qr(_times(runs, vocab, idf, None))[0]
-    left, size, _ = np.linalg.svd(_times(runs, vocab, idf, start), full_matrices=False)
-    return left[:, : min(RANK, int((size > 1e-6 * size[0]).sum()))].astype(np.float32)
+def latent_basis(matrix: np.ndarray) -> np.ndarray:
+    """Orthonormal columns over the words that span the leading right singular vectors of the normed passages (rows): a
+    randomised SVD, sharpened by one more multiplication. Every passage keeps ENERGY_KEPT of its energy in the space;
+    as GROUP is at most RANK, all directions can be kept where it takes them."""
+    start = np.linalg.qr(matrix.T @ np.random.default_rng(SEED).standard_normal((len(matrix), RANK + OVERSAMPLE)))[0]
+    left, size, _ = np.linalg.svd(matrix.T @ (matrix @ start), full_matrices=False)
+    left = left[:, : min(RANK, int((size > 1e-9 * size[0]).sum()))]
+    kept = np.cumsum((matrix @ left) ** 2, axis=1).min(axis=0, initial=1.0)  # of the passage that keeps least, by rank
+    return left[:, : int(np.searchsorted(kept, ENERGY_KEPT)) + 1].astype(np.float32)
+
+
+class Group:
+    """The latent space of up to GROUP passages, given by their words' places in the vocabulary."""
+
+    def __init__(self, passages: list[np.ndarray], idf: np.ndarray):
+        words, at = np.unique(np.concatenate(passages), return_inverse=True)
+        self.local = np.full(len(idf) + 1, -1, np.int32)  # the last: any other word
+        self.local[words] = np.arange(len(words))
+        matrix = np.zeros((len(passages), len(words)))
+        np.add.at(matrix, (np.repeat(np.arange(len(passages)), list(map(len, passages))), at), idf[words][at])
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
+        basis = latent_basis(matrix)
+        self.vectors = (idf[words][:, None] * basis).astype(np.float32)
+        latent = (matrix @ basis).astype(np.float32)
+        self.latent = np.ascontiguousarray((latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T)
 
 
 def weighted_lcs(a: list, weight: list[float], b: list) -> float:
@@ -156,16 +143,16 @@ def weighted_lcs(a: list, weight: list[float], b: list) -> float:
 class Index:
     """Latent vectors of benchmark passages, and the search of texts against them."""
 
-    def __init__(self, items: list[int], runs: list[str], vocab: pa.Array, idf: np.ndarray, rare: float, basis: np.ndarray):
+    def __init__(self, items: list[int], runs: list[str], vocab: pa.Array, idf: np.ndarray, rare: float):
         row, code, flat = coded(pa.array(runs, pa.string()), vocab)
         self.items, self.vocab, self.idf = items, vocab, idf
         self.inside, self.square = np.r_[idf**2, 0].astype(np.float32), np.r_[idf**2, rare**2].astype(np.float32)  # the last: any other word
-        self.vectors = (idf[:, None] * basis).astype(np.float32)
-        latent = np.zeros((len(runs), basis.shape[1]), np.float32)
-        np.add.at(latent, row, self.vectors[code])
-        self.latent = np.ascontiguousarray((latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T)
         cuts = np.searchsorted(row, np.arange(len(runs) + 1))
-        self.passages = [(code[a:b].tolist(), idf[code[a:b]].tolist(), float(idf[code[a:b]].sum())) for a, b in zip(cuts, cuts[1:])]
+        codes = [code[a:b] for a, b in zip(cuts, cuts[1:])]
+        self.passages = [(c.tolist(), idf[c].tolist(), float(idf[c].sum())) for c in codes]
+        full = [p for p, c in enumerate(codes) if len(c)]  # a run of punctuation has no words
+        numbers = [np.array(full[k : k + GROUP]) for k in range(0, len(full), GROUP)]
+        self.groups = [(own, Group([codes[p] for p in own], idf)) for own in numbers]
 
     def windows(self, row: np.ndarray, code: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """Start of a window, its end, number of the passage, and cosine, of each candidate."""
@@ -190,14 +177,18 @@ class Index:
             own, place = own[code[at] >= 0], code[at][code[at] >= 0]
             if not len(place):
                 continue
-            begins = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1]
-            latent = np.add.reduceat(self.vectors[place], begins, axis=0)
-            norm, at = np.maximum(np.linalg.norm(latent, axis=1), 1e-9), own[begins]
-            dot = latent @ self.latent
-            least = np.maximum(COSINE * norm, WHOLE * np.sqrt(whole[part[at]])).astype(np.float32)
-            for flat in np.flatnonzero((dot >= least[:, None]).ravel()).tolist():
-                w, p = divmod(flat, dot.shape[1])
-                yield int(start[part[at[w]]]), int(stop[at[w]]), p, float(dot[w, p] / norm[w])
+            for numbers, group in self.groups:
+                local = group.local[place]
+                mine, local = own[local >= 0], local[local >= 0]
+                if not len(local):
+                    continue
+                begins = np.r_[0, np.flatnonzero(mine[1:] != mine[:-1]) + 1]
+                latent = np.add.reduceat(group.vectors[local], begins, axis=0)
+                norm, at = np.maximum(np.linalg.norm(latent, axis=1), 1e-9), mine[begins]
+                dot = latent @ group.latent
+                for flat in np.flatnonzero((dot >= (COSINE * norm)[:, None]).ravel()).tolist():
+                    w, p = divmod(flat, dot.shape[1])
+                    yield int(start[part[at[w]]]), int(stop[at[w]]), int(numbers[p]), float(dot[w, p] / norm[w])
 
     def search(self, text: pa.Array) -> list[tuple[int, int, float, float, float]]:
         """Row, item, cosine, share of the subsequence and of the answer, of everything verified."""
@@ -223,6 +214,19 @@ class Index:
         return [(r, i, *x) for (r, i), x in found.items()]
 
 
+def hits(index):
+    """The search of batches of doc_id, text and h against a broadcast index."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 4_000_000):
+            found = index.value.search(batch.column(1))
+            at = pa.array([x[0] for x in found], pa.int64())
+            cols = [pa.array([x[j] for x in found], kind) for j, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(at), *cols, batch.column(2).cast(pa.int64()).take(at)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "h"])
+
+    return rows
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share and answer_share of every leak, and h (a hash of the row's text)."""
     spark = docs.sparkSession
@@ -230,21 +234,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks, rest = max(1, -(-runs.count() // BLOCK)), docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     out = None
     for k in range(blocks):
-        block = runs.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        own = block.toArrow()
-        vocab = vocabulary(own["text"].to_pylist())
+        own = runs.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
+        items, own = own["item_id"].to_pylist(), own["text"].to_pylist()
+        vocab = vocabulary(own)
         idf, rare = inverse_frequencies(docs, vocab)
-        index = spark.sparkContext.broadcast(Index(own["item_id"].to_pylist(), own["text"].to_pylist(), vocab, idf, rare, latent_basis(block, vocab, idf)))
-
-        def rows(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in text_slices(batches, 4_000_000):
-                found = index.value.search(batch.column(1))
-                at = pa.array([x[0] for x in found], pa.int64())
-                cols = [pa.array([x[j] for x in found], kind) for j, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(at), *cols, batch.column(2).cast(pa.int64()).take(at)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "h"])
-
-        part = rest.mapInArrow(rows, HITS + ", h long")
-        out = part if out is None else out.union(part)
+        for j in range(0, max(1, len(own)), PART):
+            index = spark.sparkContext.broadcast(Index(items[j : j + PART], own[j : j + PART], vocab, idf, rare))
+            part = rest.mapInArrow(hits(index), HITS + ", h long")
+            out = part if out is None else out.union(part)
     return out
 
 
