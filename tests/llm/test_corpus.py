@@ -76,6 +76,37 @@ def test_similar_equals_brute_force(spark):
         assert r.n == len(s) and (r.like == same or rows[r.k][0] == rows[r.k][1])
 
 
+def shingled(x):
+    return frozenset(x[i : i + 5] for i in range(len(x) - 4)) or frozenset([x])
+
+
+def jaccard(x, y):
+    return len(shingled(x) & shingled(y)) / len(shingled(x) | shingled(y))
+
+
+def test_recall_by_line_length(spark):
+    """Pairs at 0.8 to 0.85, or as near to it as an edit of a short line gets, share a key."""
+    pick, pairs = random.Random(5), [("short", "http://www.example.com/catalogue/items/2024/overview.html", "https://www.example.com/catalogue/items/2024/overview.html")]
+    word = lambda n: "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    for size in (1, 2, 3, 4, 5, 6, 8, 12, 20, 40):
+        made = 0
+        while made < 300:
+            x = " ".join(word(pick.randint(2, 9) if size > 3 else pick.randint(8, 30)) for _ in range(size))
+            y = list(x)
+            for _ in range(pick.randint(1, max(1, size // 3))):
+                i = pick.randrange(len(y))
+                y[i : i + pick.randint(0, 1)] = [pick.choice("abcdefghijklmnopqrstuvwxyz")]
+            y = "".join(y)
+            if x != y and 0.8 <= jaccard(x, y) < (0.85 if size > 6 else 1):
+                pairs.append((size, x, y))
+                made += 1
+    texts = spark.createDataFrame([(2 * k + j, t) for k, (_, *pair) in enumerate(pairs) for j, t in enumerate(pair)], "doc_id long, text string")
+    keys = {r.doc_id: set(r["keys"]) for r in linededup.signed(texts).collect()}
+    met = collections.Counter(n for k, (n, *_) in enumerate(pairs) if keys[2 * k] & keys[2 * k + 1])
+    print("met", dict(met))
+    assert met["short"] == 1 and all(met[n] >= (0.99 if n < 20 else 0.97) * 300 for n in (1, 2, 3, 4, 5, 6, 8, 12, 20, 40))
+
+
 def test_many_copies_of_few_lines(spark):
     long = " ".join(f"word{k}" for k in range(60))
     texts = [long] * 40 + [long.replace(f"word{k} ", f"wort{k} ") for k in range(5, 30)]
