@@ -107,6 +107,34 @@ def test_recall_by_line_length(spark):
     assert met["short"] == 1 and all(met[n] >= (0.99 if n < 20 else 0.97) * 300 for n in (1, 2, 3, 4, 5, 6, 8, 12, 20, 40))
 
 
+def test_hot_keys_lose_no_link(spark):
+    """Lines of a few templates, all under one key: the components are those of brute force."""
+    pick, texts = random.Random(9), []
+    for _ in range(3):
+        fixed = ["".join(pick.choices("abcdefghij", k=6)) for _ in range(11)]
+        for _ in range(150):
+            x = fixed[:4] + ["".join(pick.choices("klmnopqrst", k=7)) for _ in range(3)] + fixed[4:]
+            texts.append(" ".join(x))
+            if pick.random() < 0.4:
+                x[5] = x[5][:3] + "z" + x[5][4:]
+                texts.append(" ".join(x))
+    pick.shuffle(texts)
+    each = spark.createDataFrame([(k, t, [7]) for k, t in enumerate(texts)], "id long, line string, keys array<long>")
+    root = {r.node: r.root for r in linededup.linked(each, each).collect()}
+    stars = linededup.verified(linededup.candidates(each), each).count()
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if jaccard(texts[i], texts[j]) >= 0.8}
+    print("links", len(want), "by stars", stars)
+    assert len(want) > 100 > stars and all(root.get(i, i) == root.get(j, j) for i, j in want)
+    parent = list(range(len(texts)))
+    for i, j in sorted(want):
+        while parent[i] != i:
+            i = parent[i]
+        while parent[j] != j:
+            j = parent[j]
+        parent[max(i, j)] = min(i, j)
+    assert len(set(root.values())) + len(texts) - len(root) == sum(p == k for k, p in enumerate(parent))
+
+
 def test_many_copies_of_few_lines(spark):
     long = " ".join(f"word{k}" for k in range(60))
     texts = [long] * 40 + [long.replace(f"word{k} ", f"wort{k} ") for k in range(5, 30)]

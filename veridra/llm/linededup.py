@@ -8,9 +8,11 @@ ring of all their five-character shingles; longer ones have EXTRA more anchors.
 lines: 0.8 and more) none is missed up to 20 words and five of 40 words (`test_recall_by_line_length`). What is stored of a line is its place, its hash and its keys, not its text.
 
 Keys that hold two or more lines give pairs: a key of up to `hot` different lines (copies count once) all pairs; a
-larger one links each of its lines to four of them picked by hash (other ones under each key), so no key makes more than four rows for a line.
-Pairs are then verified by the exact Jaccard similarity of all their five-character shingles, linked pairs are
-joined by distributed union-find, and of each component the line of the least doc_id and place stays.
+larger one links each of its lines to four of them picked by hash (other ones under each key). Pairs are then
+verified by the exact Jaccard similarity of all their five-character shingles, and linked pairs are joined by
+distributed union-find. What a hot key still holds in different components is paired by prefix filtering (`unsettled`),
+so every pair that shares a key is checked, in one component already, or below the similarity for certain. Of each
+component the line of the least doc_id and place stays.
 
 Results: blank lines always stay and null text has no lines; rows that share a doc_id (or have none, which sorts
 last) are told apart only by their lines' places: lines of one component at one place stay or go together.
@@ -152,10 +154,45 @@ def verified(pairs: DataFrame, each: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(x, "a").join(y, "b").where(similar(*map(F.col, ("x", "y", "nx", "ny")), similarity)).select("a", "b")
 
 
+def unsettled(many: DataFrame, links: DataFrame, each: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All pairs a < b of ids under one hot key that may be similar and aren't in one component of links (node, root) yet.
+
+    A line's prefix is the (1 - similarity) share of its shingles, and one more, that come first in an order common to
+    all lines; two lines without a common shingle in their prefixes are below `similarity` for certain. The order is by
+    rarity, so lines of one template meet by what differs in them. The largest component of a key isn't paired within
+    itself, so a group of near copies costs as many rows as lines lie outside of it."""
+    m = many.select("key", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    m = cut(m)
+    sizes = m.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    m = cut(m.join(sizes.where("roots > 1"), "key").select("key", "id", "root", (F.col("root") != F.col("main")).alias("out")))
+    known = each.select("id", "line").join(_small(m.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
+    sets = cut(known.where(F.length("line") >= SHINGLE).select("id", F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("s")))
+    flat = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
+    ranked = flat.join(_small(flat.groupBy("s").agg(F.count("*").alias("f"))), "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
+    size = (F.floor(F.col("n") * (1 - similarity) + 1e-6) + 1).cast("int")
+    prefix = ranked.select("id", "n", F.explode(F.slice("all", 1, size)["s"]).alias("s"))
+    rows = cut(m.join(prefix, "id"))
+    x, y = rows.where("out").alias("x"), rows.alias("y")
+    near = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6) & (F.col("x.root") != F.col("y.root"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") == F.col("y.s")) & near)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def linked(signs: DataFrame, each: DataFrame, hot: int = HOT, similarity: float = SIMILARITY) -> DataFrame:
+    """node and root of every line that is in a component with another: of all pairs at `similarity` that share a key."""
+    two, few, many = grouped(signs, hot)
+    edges = cut(verified(paired(two, few, many), each, similarity))
+    links = components(edges)
+    if not many.limit(1).count():
+        return links
+    more = cut(verified(unsettled(many, links, each, similarity), each, similarity))
+    return components(edges.union(more)) if more.limit(1).count() else links
+
+
 def removed(docs: DataFrame, hot: int = HOT, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and gone (sorted places of the lines that go) for each doc_id that loses lines; null doc_id as one."""
     signs = cut(signed(docs))
-    links = components(verified(candidates(signs, hot), lines(docs), similarity))
+    links = linked(signs, lines(docs), hot, similarity)
     spot = signs.select("doc_id", "pos", "id", place(F.col("doc_id"), F.col("pos")).alias("place"))
     first = spot.groupBy("id").agg(F.min("place").alias("first"), F.max("place").alias("final"))
     named = first.join(links.withColumnRenamed("node", "id"), "id", "left").where((F.col("first") < F.col("final")) | F.col("root").isNotNull())
