@@ -1,3 +1,4 @@
+import collections
 import random
 import re
 
@@ -75,3 +76,25 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 3), (False, 7), (False, 9), (False, 9), (True, None)]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_dedup_takes_edited_copies(spark):
+    pick, texts, pairs = random.Random(11), [], []
+    for size, edits in ((100, 1), (200, 1), (200, 3), (400, 5), (1000, 10)):
+        for _ in range(40):
+            x = [f"w{pick.randrange(5000)}" for _ in range(size)]
+            y = list(x)
+            for i in pick.sample(range(size), edits):
+                y[i] = "edited"
+            sets = [{tuple(t[i : i + 5]) for i in range(size - 4)} for t in (x, y)]
+            assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+            pairs.append((len(texts), len(texts) + 1, (size, edits)))
+            texts += [" ".join(x), " ".join(y)]
+    far = [f"w{pick.randrange(5000)}" for _ in range(100)]
+    texts += [" ".join(far), " ".join("edited" if k % 12 == 0 else w for k, w in enumerate(far))]  # below 0.8: both stay
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (32, 1):
+        kept = {r.doc_id for r in simhash.dedup(df, hot).collect()}
+        print("gone", collections.Counter(n for a, b, n in pairs if b not in kept))
+        assert all(a in kept for a, *_ in pairs) and sum(b not in kept for _, b, _ in pairs) >= 0.98 * len(pairs)
+        assert {len(texts) - 2, len(texts) - 1} <= kept

@@ -20,6 +20,8 @@ last) are told apart only by their lines' places: lines of one component at one
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +156,13 @@ def verified(pairs: DataFrame, each: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(x, "a").join(y, "b").where(similar(*map(F.col, ("x", "y", "nx", "ny")), similarity)).select("a", "b")
 
 
-def unsettled(many: DataFrame, links: DataFrame, each: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def shingle_sets(ids: DataFrame, each: DataFrame) -> DataFrame:
+    """id and s (the hashes of its shingles) of those lines."""
+    known = each.select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
+    return known.where(F.length("line") >= SHINGLE).select("id", F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("s"))
+
+
+def unsettled(many: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
     """All pairs a < b of ids under one hot key that may be similar and aren't in one component of links (node, root) yet.
 
     A line's prefix is the (1 - similarity) share of its shingles, and one more, that come first in an order common to
@@ -165,8 +173,7 @@ def unsettled(many: DataFrame, links: DataFrame, each: DataFrame, similarity: fl
     m = cut(m)
     sizes = m.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
     m = cut(m.join(sizes.where("roots > 1"), "key").select("key", "id", "root", (F.col("root") != F.col("main")).alias("out")))
-    known = each.select("id", "line").join(_small(m.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
-    sets = cut(known.where(F.length("line") >= SHINGLE).select("id", F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("s")))
+    sets = cut(sets_of(m.select("id").distinct()))
     flat = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
     ranked = flat.join(_small(flat.groupBy("s").agg(F.count("*").alias("f"))), "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
     size = (F.floor(F.col("n") * (1 - similarity) + 1e-6) + 1).cast("int")
@@ -180,12 +187,17 @@ def unsettled(many: DataFrame, links: DataFrame, each: DataFrame, similarity: fl
 
 def linked(signs: DataFrame, each: DataFrame, hot: int = HOT, similarity: float = SIMILARITY) -> DataFrame:
     """node and root of every line that is in a component with another: of all pairs at `similarity` that share a key."""
+    return joined(signs, lambda pairs: verified(pairs, each, similarity), lambda ids: shingle_sets(ids, each), hot, similarity)
+
+
+def joined(signs: DataFrame, check: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], hot: int = HOT, similarity: float = SIMILARITY) -> DataFrame:
+    """node and root of the components of all pairs that share a key and pass the check; signs has id and keys."""
     two, few, many = grouped(signs, hot)
-    edges = cut(verified(paired(two, few, many), each, similarity))
+    edges = cut(check(paired(two, few, many)))
     links = components(edges)
     if not many.limit(1).count():
         return links
-    more = cut(verified(unsettled(many, links, each, similarity), each, similarity))
+    more = cut(check(unsettled(many, links, sets_of, similarity)))
     return components(edges.union(more)) if more.limit(1).count() else links
 
 

@@ -7,6 +7,11 @@ than `hot` fingerprints isn't paired: its members are linked through midpoints i
 fingerprints within two bits share a value that differs from each in one bit at most, and all that share such a
 value are within two bits of each other, so each is linked to the least of them only. Rows stay linear there.
 
+`dedup`, the stage of a corpus pipeline, takes texts as near copies at an exact Jaccard similarity of SIMILARITY over
+five-word shingles. There a SimHash differs in about ten of 64 bits, which no number of blocks finds at a bearable
+cost, so its candidates are MinHash ring bands of the shingles' hashes (as in linededup), each pair verified by its
+sets; only what `near_duplicates` reports is held to the fingerprints.
+
 Results: null or wordless text has fingerprint zero; every input row gives one output row; null doc_id never
 becomes a component_id unless the component has no other.
 """
@@ -20,29 +25,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridra.llm import linededup
 from veridra.llm.common import cut, text_slices, texts
 from veridra.llm.graph import components
 
 SEED, SHINGLE, MAX_BITS, HOT = 42, 3, 2, 64
+#: Of dedup: words of a shingle, least Jaccard similarity, bands and hashes of each.
+NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 3
+NEAR_HOT = 32
+_ANCHORS = np.arange(BANDS, dtype=np.uint64) * np.uint64((1 << 64) // BANDS)
 _LANES = np.uint64(0x0101010101010101)
 _SHIFTS = np.arange(8, dtype=np.uint64)[:, None]
 
 
-def fingerprint(text: str) -> int:
-    """Unsigned 64-bit fingerprint of a text."""
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` words (of the whole text, if it has no more); none without words."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
-    if not n:
-        return 0
     joined = b" ".join(words)
-    if n <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.r_[0, ends[: n - SHINGLE] + 1]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64)
+    if n <= size:
+        return np.array([digest(joined, SEED)] if n else [], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.r_[0, ends[: n - size] + 1]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str) -> int:
+    """Unsigned 64-bit fingerprint of a text."""
+    h = shingle_hashes(text, SHINGLE)
+    if len(h) < 2:
+        return int(h[0]) if len(h) else 0
     counts = np.zeros((8, 8), np.int64)
     for k in range(0, len(h), 255 * 64):  # at most 255 values go into a byte lane
         part = h[k : k + 255 * 64]
@@ -100,21 +115,58 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return classes(cut(fingerprints(docs)), hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """docs with one row of each component: the one with the least doc_id (then the least hash of its text).
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    for batch in text_slices(batches):
+        ids, sets, keys = [], [], []
+        for text in texts(batch):
+            h = np.unique(shingle_hashes(text, NEAR_SHINGLE))
+            ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))  # texts of one set are one node
+            sets.append(h.view(np.int64))
+            if len(h):
+                at = (np.searchsorted(h, _ANCHORS)[:, None] + np.arange(min(ROWS, len(h)))) % len(h)
+                keys.append(np.array([xxhash.xxh64_intdigest(h[a].tobytes(), j) for j, a in enumerate(at)], np.uint64).view(np.int64))
+            else:
+                keys.append(np.zeros(0, np.int64))
+        kept = [batch.column(batch.schema.get_field_index(c)).cast(pa.int64()) for c in ("doc_id", "row_hash")]
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, sets)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(np.array(ids, np.uint64).view(np.int64)), *lists], names=["doc_id", "row_hash", "id", "keys", "s"])
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs of a and b whose sets (columns id and s) have that Jaccard similarity."""
+    x, y = (sets.select(F.col("id").alias(i), F.col("s").alias(s)) for i, s in (("a", "x"), ("b", "y")))
+    both, n, m = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")
+    fit = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
+    return pairs.join(x, "a").join(y, "b").where(fit & (both / (n + m - both) >= similarity)).select("a", "b")
+
+
+def near_classes(docs: DataFrame, hot: int = NEAR_HOT) -> DataFrame:
+    """doc_id, row_hash and root (a name of the component of near copies) for each row of docs."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+    signs = cut(rows.mapInArrow(_signed, "doc_id long, row_hash long, id long, keys array<long>, s array<long>"))
+    single = cut(signs.groupBy("id").agg(F.any_value("keys").alias("keys"), F.any_value("s").alias("s")))
+    sets = single.select("id", "s")
+    links = linededup.joined(single, lambda pairs: alike(pairs, sets), lambda ids: sets.join(ids, "id", "left_semi"), hot, SIMILARITY)
+    return signs.select("doc_id", "row_hash", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "row_hash", F.coalesce("root", "id").alias("root"))
+
+
+def dedup(docs: DataFrame, hot: int = NEAR_HOT) -> DataFrame:
+    """docs with one row of each component of near copies: the one with the least doc_id (then the least hash of its text).
 
     Rows without doc_id stay. Only the ids that go are joined to the texts (Spark broadcasts them while they are
     few). Rows that repeat both doc_id and text are folded to one, which shuffles texts and so happens only where
     such rows exist.
     """
-    prints = cut(fingerprints(docs))
-    named = classes(prints.where("doc_id is not null"), hot).select("root", F.struct("doc_id", "row_hash").alias("row"))
+    prints = cut(docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row_hash")))
+    named = near_classes(docs.where("doc_id is not null"), hot).select("root", F.struct("doc_id", "row_hash").alias("row"))
     named = cut(named)
     best = named.groupBy("root").agg(F.min("row").alias("best"))
     gone = named.join(best, "root").where(F.col("row") != F.col("best")).select("row.doc_id", "row.row_hash").distinct()
     on = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["row_hash"])
     kept = docs.join(gone, on, "left_anti")
-    ids = prints.where("doc_id is not null").groupBy("doc_id", "row_hash").count()
+    ids = prints.groupBy("doc_id", "row_hash").count()
     if ids.where("count > 1").limit(1).count():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.where("doc_id is null"))
     return kept
