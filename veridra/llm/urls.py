@@ -58,11 +58,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Splits runs of letters into the likeliest words; an unknown word's odds fall tenfold with each letter."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + len(TELLING)
+    def __init__(self, counts: dict[str, int], rest: int = 0):
+        """counts of the common words, and how often all other words are met together."""
+        total = sum(counts.values()) + rest + len(TELLING)
         least = max(total // 1000, 1)  # telling words count as common ones
         counts = counts | {w: max(counts.get(w, 0), least) for w in TELLING}
-        self.total = math.log(sum(counts.values()) or 1)
+        self.rare: dict[str, int] = {}  # counts of other words that are in the runs to split
+        self.total = math.log(sum(counts.values()) + rest or 1)
         self.cost = {w: self.total - math.log(n) for w, n in counts.items()}
         self.split = lru_cache(maxsize=100_000)(self._split)
 
@@ -72,7 +74,10 @@ class Segmenter:
             found = (math.inf, 0)
             for start in range(max(0, end - LONGEST), end):
                 word = run[start:end]
-                cost = best[start][0] + self.cost.get(word, self.total + len(word) * math.log(10))
+                cost = self.cost.get(word)
+                if cost is None:
+                    cost = self.total - math.log(self.rare[word]) if word in self.rare else self.total + len(word) * math.log(10)
+                cost += best[start][0]
                 found = min(found, (cost, start))
             best.append(found)
         out, end = [], len(run)
@@ -88,38 +93,59 @@ class Segmenter:
         return own + ["/" + w for run in re.findall(r"[^\W\d_]+", path.lower()) for w in self.split(run)]
 
 
-def word_counts(pages: DataFrame, words: int = WORDS) -> dict[str, int]:
-    """Counts of the common words of the pages' text; at most `words`."""
+def word_counts(pages: DataFrame, words: int = WORDS) -> tuple[dict[str, int], int, DataFrame]:
+    """Counts of the common words of the pages' text (at most `words`), the sum of the others, and the others' counts."""
     parts = F.split(F.translate(F.coalesce("html", F.lit("")), UPPER, LOWER), r"<[^>]*>|[^a-z]+")
     each = pages.select(F.explode(parts).alias("word")).where(F.length("word").between(2, LONGEST)).groupBy("word").count()
     each = cut(each)
     total = each.agg(F.sum("count")).first()[0] or 0
-    return {r["word"]: r["count"] for r in each.where(F.col("count") * words >= total).collect()}
+    common = {r["word"]: r["count"] for r in each.where(F.col("count") * words >= total).collect()}
+    return common, total - sum(common.values()), each.where(F.col("count") * words < total)
+
+
+def rare_words(urls: DataFrame, rare: DataFrame) -> DataFrame:
+    """urls (with host, path and row) and rare: words and counts of the rare words that a row's runs of letters hold."""
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit("[a-z]{2,}"), F.lit(0)))
+    each = cut(urls.select("row", F.explode(runs).alias("run")))
+    starts, sizes = F.sequence(F.lit(1), F.length("run") - 1), F.sequence(F.lit(2), F.lit(LONGEST))
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(sizes, lambda n: i + n - 1 <= F.length("run")), lambda n: F.substring("run", i, n))))
+    held = each.select("run").distinct().select("run", F.explode(F.array_distinct(parts)).alias("word")).join(rare, "word")
+    found = each.join(held, "run").groupBy("row").agg(F.collect_set(F.struct("word", "count")).alias("rare"))
+    return urls.join(found, "row", "left").select(*urls.columns, F.col("rare.word").alias("rare"), F.col("rare.count").alias("n"))
 
 
 def classify(pages: DataFrame, rules=RULES, words: int = WORDS) -> DataFrame:
     """page_id, host, path, rule, verdict and score (log odds of blocking; null under a rule) for each row of pages."""
     sc = pages.sparkSession.sparkContext
-    known = sc.broadcast(word_counts(pages, words))
+    counts, others, rare = word_counts(pages, words)
+    known = sc.broadcast((counts, others))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     urls = pages.select("page_id", host.alias("host"), path.alias("path")).select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled"))
+    if others:  # the rare ones are looked up by a join
+        urls = rare_words(cut(urls).withColumn("row", F.monotonically_increasing_id()), rare).drop("row")
+    else:
+        urls = urls.select("*", F.lit(None).cast("array<string>").alias("rare"), F.lit(None).cast("array<long>").alias("n"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Segmenter(known.value)
+        own = Segmenter(*known.value)
         for batch in batches:
-            found = [own.words(h, p) for h, p in zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True)]
+            found = []
+            for h, p, rare, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 5, 6)), strict=True):
+                own.rare = dict(zip(rare or (), n or (), strict=True))  # all that a run holds, so a split can be kept by run
+                found.append(own.words(h, p))
             cols = [batch.column(0).cast(pa.int64()), *(batch.column(k).cast(pa.string()) for k in (1, 2, 3, 4)), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "host", "path", "rule", "ruled", "words"])
 
-    split = cut(urls.mapInArrow(rows, SCHEMA))
+    split = cut(urls.mapInArrow(rows, SCHEMA)).withColumn("row", F.monotonically_increasing_id())
     bad = F.arrays_overlap("words", F.array(*map(F.lit, LABELS)))
     tokens = split.select(bad.alias("bad"), F.explode("words").alias("word")).groupBy("word").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("a"))
     tokens = cut(tokens)
     sums = tokens.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("v")).first()
     n_a, n_b, v = sums["a"] or 0, sums["b"] or 0, sums["v"]
     docs = split.agg(F.count_if(bad).alias("b"), F.count_if(~bad).alias("a")).first()
-    common = tokens.where((F.col("a") + F.col("b")) * words >= n_a + n_b).collect()
+    often = (F.col("a") + F.col("b")) * words >= n_a + n_b
+    common = tokens.where(often).collect()
     prior = math.log((docs["b"] + 1) / (docs["a"] + 1))
     unseen = math.log((n_a + v + 1) / (n_b + v + 1))
     odds = sc.broadcast({r["word"]: math.log((r["b"] + 1) / (r["a"] + 1)) + unseen for r in common})
@@ -127,9 +153,18 @@ def classify(pages: DataFrame, rules=RULES, words: int = WORDS) -> DataFrame:
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = odds.value
         for batch in batches:
-            score = [prior + sum(table.get(w, 0.0) for w in own) for own in batch.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(score, pa.float64())], names=["page_id", "host", "path", "rule", "ruled", "score"])
-
-    scored = split.mapInArrow(scores, "page_id long, host string, path string, rule string, ruled string, score double")
+            found = batch.column(5).to_pylist()
+            score = [prior + sum(table.get(w, 0.0) for w in own) for own in found]
+            rest = [[w for w in own if w not in table] for own in found]
+            cols = [*batch.columns[:5], batch.column(6), pa.array(score, pa.float64()), pa.array(rest, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "host", "path", "rule", "ruled", "row", "score", "rest"])
+
+    scored = split.mapInArrow(scores, "page_id long, host string, path string, rule string, ruled string, row long, score double, rest array<string>")
+    few = tokens.where(~often)
+    if few.limit(1).count():  # words too rare to broadcast meet their counts in a shuffled join
+        weight = few.select("word", (F.log((F.col("b") + 1) / (F.col("a") + 1)) + unseen).alias("w"))
+        scored = cut(scored)
+        more = scored.select("row", F.explode("rest").alias("word")).join(weight, "word").groupBy("row").agg(F.sum("w").alias("more"))
+        scored = scored.join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), F.when(F.col("rule").isNull(), F.round("score", 9)).alias("score"))
