@@ -27,11 +27,19 @@ def test_codec_equals_the_library(word):
     for text, want in zip(texts(), library.encode_batch(texts(), add_special_tokens=False), strict=True):
         assert own.encode(text) == want.ids, text
         assert own.decode(want.ids) == library.decode(want.ids, skip_special_tokens=False)
-        n, ids, decoded = own.digest(text)
+        ((n, ids, decoded),) = own.digests([text])
         assert (n, ids) == (len(want.ids), hashlib.sha256(" ".join(map(str, want.ids)).encode()).hexdigest())
         assert decoded == hashlib.sha256(library.decode(want.ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_slices_equal_single_texts(word):
+    _, own, _ = word
+    many = texts()
+    assert own.digests(many) == [own.digests([t])[0] for t in many] and own.digests([]) == []
+    offsets, ids = own.encode_all(many)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [own.encode(t) for t in many]
+
+
 def test_forced_boundaries_never_split_a_token(word):
     _, own, _ = word
     for w in ["unbelievable", "thwhion", "qxzj", "ßtraße", "a", "x" * 200]:
@@ -59,6 +67,8 @@ def test_counts_equal_the_library():
     library, own = Tokenizer.from_file(path), tokencount.Counts(path, tokencount.whole_tokens(path))
     for text, want in zip(texts(), library.encode_batch(texts(), add_special_tokens=False), strict=True):
         assert own.count(text) == len(want.ids), text
+        assert own.count_all([text, " a b", text, ""]).tolist() == [len(want.ids), own.count(" a b"), len(want.ids), 0], text
+    assert own.count_all(texts()).tolist() == list(map(own.count, texts())) and not len(own.count_all([]))
 
 
 def test_rows(spark, word):

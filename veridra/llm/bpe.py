@@ -2,11 +2,14 @@
 
 A pair of neighbouring symbols that stands side by side in no vocabulary entry can't be inside a merged token, so
 a cut between them is certain. Words are cut at all such pairs; the fragments are encoded on their own (a fragment
-is met far more often than its word, so most come from a table of those met before) and put together again.
+is met far more often than its word, so most come from a table of those met before) and put together again. A slice of
+texts is normalized, cut at white space by Arrow, and dictionary-encoded: the codec sees each different chunk of a slice
+once, and ids and decoded texts are gathered for all texts by index.
 
 The vocabulary file is read by each Python worker from `path`, a parameter; it must be readable on every node.
 Results: null text counts as empty; an empty text has no tokens, ids and text hash as the empty string; every
-input row gives one output row.
+input row gives one output row, repeated rows too; no rows give no rows. A very long text makes a slice of its own.
+Columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,17 +20,19 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from veridra.llm.common import text_slices, texts
 
 END = "</w>"
-#: Entries that a worker keeps of words and fragments met; the tables start anew beyond.
-CACHE = 300_000
+#: Entries that a worker keeps of chunks, and of fragments, met; a table starts anew beyond.
+CACHE = 400_000
 #: Up to this many symbols a plain scan for the best merge is quicker than a heap.
 PLAIN = 48
 NEVER = 1 << 30
@@ -60,6 +65,10 @@ def split_pattern(template: str, later: bool) -> regex.Pattern:
 #: Fixed value: the split of the vocabulary.
 WORDS = [split_pattern("'s|'t|'re|'ve|'m|'ll|'d|LL+|NN|OO+", later) for later in (False, True)]
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+#: White space beyond ASCII's, and what Python but not the vocabulary takes for it: such texts are cut in Python.
+ODD_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Bytes of text that are dictionary-encoded at once.
+SLICE = 8_000_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -139,8 +148,7 @@ class ForcedBoundaryCodec:
             symbols = self._symbols_of(token)
             self.inside.update(zip(symbols, symbols[1:]))
         self.fragments: dict[tuple[str, ...], list[str]] = {}
-        self.encoded: dict[str, list[str]] = {}
-        self.words: dict[str, tuple[str, str, int]] = {}
+        self.chunks: dict[str, bytes] = {}
         special = sorted(self.merges.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, special))) if special else None
 
@@ -165,82 +173,108 @@ class ForcedBoundaryCodec:
 
     def encode_word(self, word: str) -> list[str]:
         """Tokens of one pre-token."""
-        if (out := self.encoded.get(word)) is not None:
-            return out
         out = []
         for part in self.split(word):
-            key = tuple(part)
+            key = "".join(part)
             if (tokens := self.fragments.get(key)) is None:
                 if len(self.fragments) >= CACHE:
                     self.fragments.clear()
                 tokens = self.merges.merge(part)
-                if len(key) <= 64:
+                if len(part) <= 64:
                     self.fragments[key] = tokens
             out += tokens
-        if len(self.encoded) >= CACHE:
-            self.encoded.clear()
-        if len(word) <= 64:
-            self.encoded[word] = out
         return out
 
-    def _chunk(self, chunk: str) -> tuple[str, str, int]:
-        """Ids and tokens (joined by spaces) and their number, of normalized text without white space."""
-        body, last = chunk[:-1], chunk[-1]
-        if last in ".,;:!?" and body.isalpha():
+    def chunk(self, chunk: str) -> bytes:
+        """Ids (as 32-bit integers) of normalized text without white space."""
+        if (found := self.chunks.get(chunk)) is not None:
+            return found
+        body, last = chunk[:-1], chunk[-1:]
+        if not chunk:
+            words = []
+        elif last in ".,;:!?" and body.isalpha() and not RARE.search(body):
             words = [body, last]
         else:
-            words = [chunk] if chunk.isalpha() and not RARE.search(chunk) else WORDS[bool(RARE.search(chunk))].findall(chunk)
-        tokens = [t for word in words for t in self.encode_word(word)]
+            rare = bool(RARE.search(chunk))
+            words = [chunk] if not rare and chunk.isalpha() else WORDS[rare].findall(chunk)
         vocab = self.merges.vocab
-        return " ".join([str(vocab[t]) for t in tokens]), " ".join(tokens), len(tokens)
+        found = np.array([vocab[t] for word in words for t in self.encode_word(word)], np.int32).tobytes()
+        if len(chunk) <= 64:
+            if len(self.chunks) >= CACHE:
+                self.chunks.clear()
+            self.chunks[chunk] = found
+        return found
 
-    def _plain(self, text: str) -> Iterator[tuple[str, str, int]]:
-        """Of text without special tokens."""
+    @staticmethod
+    def normal(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
             if RARE.search(text):
                 text = text.translate(CAPITALS)
-        text = text.lower()
-        known = self.words
-        for chunk in text.split() if not SEPARATORS.search(text) else regex.split(f"[{WHITE}]+", text):
-            if not chunk:
-                continue
-            if (found := known.get(chunk)) is None:
-                found = self._chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[chunk] = found
-            yield found
-
-    def _parts(self, text: str) -> Iterator[tuple[str, str, int]]:
-        at = 0
-        for m in self.specials.finditer(text) if self.specials else ():
-            yield from self._plain(text[at : m.start()])
-            yield str(self.merges.special[m[0]]), m[0], 1
-            at = m.end()
-        yield from self._plain(text[at:] if at else text)
+        return text.lower()
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of text without special tokens."""
+        text = self.normal(text)
+        chunks = text.split() if not SEPARATORS.search(text) else regex.split(f"[{WHITE}]+", text)
+        return b"".join(map(self.chunk, chunks))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self._parts(text) for i in ids.split()]
+        """Ids of one text, special tokens in it included."""
+        at, out = 0, []
+        for m in self.specials.finditer(text) if self.specials else ():
+            out += [self._plain(text[at : m.start()]), np.int32(self.merges.special[m[0]]).tobytes()]
+            at = m.end()
+        return np.frombuffer(b"".join([*out, self._plain(text[at:] if at else text)]), np.int32).tolist()
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text begin (and the last ones end), and the ids of all."""
+        one_by_one = {k: self.encode(t) for k, t in enumerate(texts) if any(x in t for x in self.merges.special) or ODD_WHITE.search(t)}
+        lists = pc.ascii_split_whitespace(pa.array(["" if k in one_by_one else self.normal(t) for k, t in enumerate(texts)], pa.string()))
+        flat = lists.flatten().dictionary_encode()
+        known = list(map(self.chunk, flat.dictionary.to_pylist()))
+        size, code = np.fromiter(map(len, known), np.int64, len(known)) // 4, np.asarray(flat.indices, dtype=np.int64)
+        start, n = np.cumsum(size) - size, size[code]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = np.frombuffer(b"".join(known), np.int32)[np.repeat(start[code] - ends[:-1], n) + np.arange(ends[-1])]
+        offsets = ends[np.asarray(lists.offsets, dtype=np.int64)]
+        if one_by_one:  # they have no ids yet
+            more = np.zeros(len(texts), np.int64)
+            more[list(one_by_one)] = list(map(len, one_by_one.values()))
+            ids = np.insert(ids, np.repeat(offsets[:-1], more), np.concatenate([np.array(x, np.int32) for x in one_by_one.values()]))
+            offsets = offsets + np.r_[0, np.cumsum(more)]
+        return offsets, ids
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces: what the library gives where the file names no decoder."""
-        names = self.names
-        return " ".join(names[i] for i in ids if i in names)
-
-    @property
-    def names(self) -> dict[int, str]:
-        if not hasattr(self, "_names"):
-            self._names = {i: t for t, i in (self.merges.vocab | self.merges.special).items()}
-        return self._names
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, and hashes of the joined ids and of the decoded text."""
-        parts = [p for p in self._parts(text) if p[2]]
-        ids, tokens, counts = zip(*parts, strict=True) if parts else ((), (), ())
+        return self.decode_all(np.array([0, len(ids)]), np.array(ids, np.int32))[0]
+
+    def decode_all(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
+        """The texts that the ids of each stretch decode to; ids that the vocabulary lacks say nothing."""
+        names, _ = self.by_id
+        known = np.asarray(names.is_valid())[ids] if names.null_count else None
+        if known is not None and not known.all():
+            offsets, ids = np.r_[0, np.cumsum(known)][offsets], ids[known]
+        return joined(offsets, names.take(pa.array(ids)))
+
+    @cached_property
+    def by_id(self) -> tuple[pa.StringArray, pa.StringArray]:
+        """The token and the decimal digits of each id."""
+        names = {i: t for t, i in (self.merges.vocab | self.merges.special).items()}
+        every = range(max(names) + 1)
+        return pa.array([names.get(i) for i in every], pa.string()), pa.array(list(map(str, every)), pa.string())
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Of each text the number of its tokens, and hashes of the joined ids and of what they decode to."""
+        offsets, ids = self.encode_all(texts)
+        written = joined(offsets, self.by_id[1].take(pa.array(ids)))
         sha = hashlib.sha256
-        return sum(counts), sha(" ".join(ids).encode()).hexdigest(), sha(" ".join(tokens).encode()).hexdigest()
+        return [(n, sha(x.encode()).hexdigest(), sha(y.encode()).hexdigest()) for n, x, y in zip(np.diff(offsets).tolist(), written, self.decode_all(offsets, ids), strict=True)]
+
+
+def joined(offsets: np.ndarray, parts: pa.StringArray) -> list[str]:
+    """The parts of each stretch, joined by spaces."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts), " ").to_pylist()
 
 
 @lru_cache(maxsize=2)
@@ -253,8 +287,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in text_slices(batches):
-            found = [own.digest(t) for t in texts(batch)]
+        for batch in text_slices(batches, SLICE):
+            found = own.digests(texts(batch))
             ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
             cols = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -268,8 +302,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in text_slices(batches, 500_000):
-            ids = [own.encode(t) for t in texts(batch)]
+            offsets, ids = own.encode_all(texts(batch))
             doc = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([doc, lists, pa.array(own.decode_all(offsets, ids), pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, ids array<int>, decoded string")
