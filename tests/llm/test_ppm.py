@@ -3,56 +3,52 @@ import math
 import re
 import zlib
 
-import numpy as np
-import pyarrow as pa
-
 from veridra.llm import ppm
 
 TEXTS = ["the cat sat on the mat", "the cat ate", None, "", "é漢 the the", "a\x0bb\x1cc A a", "the cat sat on the mat", "zzz " * 3000]
 
 
-def batch(texts):
-    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-
-def test_model_equals_brute_force():
-    grams, n = (np.asarray(c) for c in next(ppm._count_grams([batch(TEXTS)])).columns)
-    counts = [collections.defaultdict(collections.Counter) for _ in range(4)]
-    for t in TEXTS:
-        b = b"\0\0\0" + (t or "").encode() + b"\0"
-        for i in range(3, len(b)):
-            for k in range(4):
-                counts[k][b[i - k : i]][b[i]] += 1
-    assert sum(n) == sum(len((t or "").encode()) + 1 for t in TEXTS)
-    limit, total = 60, int(n.sum())
-    by = collections.Counter()
-    for g, x in zip(grams >> 8, n, strict=True):
-        by[int(g)] += int(x)
-    keep = np.array([by[int(g)] * limit >= total for g in grams >> 8])
-    low, at = np.unique(grams & 0xFFFFFF, return_inverse=True)
-    model = ppm.build((low, np.bincount(at, weights=n).astype(np.int64)), (grams[keep], n[keep]))
-    used = len({s for c in counts[0].values() for s in c})
+def brute_scores(rows, held):
+    """log10 of each text's probability, symbol by symbol with sets of excluded symbols."""
+    counts = [collections.defaultdict(collections.Counter) for _ in range(ppm.ORDER + 1)]
+    gap = bytes(ppm.ORDER)
+    for i, t in rows:
+        b = gap + (t or "").encode() + b"\0"
+        for at in range(ppm.ORDER, len(b)) if not held(i) else ():
+            for k in range(ppm.ORDER + 1):
+                counts[k][b[at - k : at]][b[at]] += 1
+    used = len(counts[0][b""])
 
     def chance(history, symbol):
         out, seen = 1.0, set()
-        for k in (3, 2, 1, 0):
-            context = history[len(history) - k :] if k else b""
-            if k == 3 and by[int.from_bytes(context, "big")] * limit < total:
-                continue
-            own = {s: c for s, c in counts[k][context].items() if s not in seen}
+        for k in range(ppm.ORDER, -1, -1):
+            own = {s: c for s, c in counts[k][history[len(history) - k :]].items() if s not in seen}
             if own:
                 all_ = sum(own.values()) + len(own)
                 if symbol in own:
                     return out * own[symbol] / all_
                 out *= len(own) / all_
                 seen |= set(own)
-        return out / (256 - used)
+        return out / max(256 - used, 1)
 
-    test = ["the dog", "", "zz", "qué"]
-    for got, t in zip(model.scores(batch(test)), test, strict=True):
-        b = b"\0\0\0" + t.encode() + b"\0"
-        assert abs(got - sum(math.log10(chance(b[:i], b[i])) for i in range(3, len(b)))) < 1e-4
-    assert abs(sum(chance(b"the", c) for c in range(256)) - 1) < 1e-9
+    if any(counts[0].values()):
+        assert abs(sum(chance(b"a the", c) for c in range(256)) - 1) < 1e-9
+    bytes_of = lambda t: gap + (t or "").encode() + b"\0"
+    return [(i, sum(math.log10(chance(b[:at], b[at])) for b in [bytes_of(t)] for at in range(ppm.ORDER, len(b)))) for i, t in rows]
+
+
+def test_scores_equal_brute_force(spark):
+    rows = [(k, t) for k, t in enumerate(TEXTS + ["the dog sat", "qué the cat", "tha cot", "x\0y", "the cat " * 40, "mat on the mat é"] * 3)] + [(0, TEXTS[0]), (None, "the end")]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for kept, hot, group in ((rows, 1 << 21, 1), (rows, 50, 200_000), ([r for r in rows if held(r[0])], 50, 1)):
+        want = collections.Counter((i, round(x, 4)) for i, x in brute_scores(kept, held))
+        limit, ppm.GROUP = ppm.GROUP, group
+        try:
+            got = ppm.score(df if kept is rows else df.where(ppm.held_out(df.doc_id)), hot).collect()
+        finally:
+            ppm.GROUP = limit
+        assert collections.Counter((r.doc_id, round(r.score, 4)) for r in got) == want and any(map(held, (r[0] for r in rows)))
 
 
 def test_base_equals_brute_force(spark):

@@ -1,10 +1,12 @@
 """Operator 6, LM scoring: prediction by partial matching over bytes, beside a smoothed unigram base.
 
-Training counts every run of four bytes in the training rows (all of them). The trie keeps all contexts of up to
-two bytes, and those of three that make up at least one in `contexts` of all positions: no more than `contexts`
-can, so what is broadcast has a proven bound at any size of the corpus. Its code lengths (escape as in method C,
-symbols of longer contexts excluded from shorter ones) are worked out once for each context, so scoring a byte is
-two table look-ups.
+Training counts every run of ORDER + 1 bytes in the training rows: the trie of all contexts of up to ORDER bytes, none
+left out, so it grows with the corpus. Code lengths (escape as in method C, symbols of longer contexts excluded from
+shorter ones) are worked out for every run of the corpus, in groups by the last three bytes of the context: what follows
+a context also follows its suffix, so what an escape leaves over is a difference of sums of the two (`price`). Runs that
+make up at least one in `hot_grams` of all are broadcast (at most that many, 16 bytes each); others meet their code
+length in a shuffled join. Contexts of up to two bytes are broadcast: at most 2^24 runs of 16 bytes, 268 MB if every
+triple of bytes occurs; the driver holds no more than that and the hot runs and words.
 
 The base needs every word's count. Words that make up at least one in `hot_words` of the training tokens (again
 at most that many) are broadcast; the rest meet their counts in a shuffled join keyed by the word.
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 
 from veridra.llm.common import cut, text_slices
 
-CONTEXTS, HOT_WORDS = 1 << 16, 1 << 20
-TRAIN_SLICE = 5_000_000
+ORDER, HOT_GRAMS, HOT_WORDS = 4, 1 << 21, 1 << 20
+#: Bytes of text that a worker counts at once, different runs that it holds before it passes them on, and runs that are
+#: priced together (a group is larger only if one context of three bytes is).
+TRAIN_SLICE, HELD, GROUP = 5_000_000, 3_000_000, 200_000
 #: Stands for the end token in counts: no word holds a space.
 END = " "
 
@@ -53,125 +57,143 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([names, pa.array(np.r_[n, batch.num_rows].astype(np.int64))], names=["word", "n"])
 
 
-def stream(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the texts, each after three zeros and with one zero (its end) behind; places where a text's bytes start.
+def _pairs(row: np.ndarray, code: np.ndarray, wanted: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs of a row and a code, of the codes that are wanted, and how often each comes."""
+    some = wanted[code] if len(wanted) else np.zeros(len(code), bool)
+    pair, times = np.unique(row[some] * max(codes, 1) + code[some], return_counts=True)
+    return *np.divmod(pair, max(codes, 1)), times
 
-    The text of row i is at starts[i] up to starts[i + 1] - 3, its end symbol included; three zeros come before each.
-    """
+
+def runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte of the texts, and of the zero that ends each: the row, and the run of ORDER bytes before it and itself.
+    Before a text stand zeros."""
     text = pc.fill_null(batch.column(batch.schema.get_field_index("text")).cast(pa.binary()), b"")
     sizes = np.asarray(pc.binary_length(text), dtype=np.int64)
-    whole = pc.binary_join(pa.array([text.to_pylist()], pa.list_(pa.binary())), b"\0\0\0")[0].as_py() if len(text) else b""
-    starts = 3 + np.r_[0, np.cumsum(sizes + 3)]
-    return np.frombuffer(b"\0\0\0" + whole + b"\0\0\0", np.uint8), starts
+    gap = bytes(ORDER)
+    whole = pc.binary_join(pa.array([text.to_pylist()], pa.list_(pa.binary())), gap)[0].as_py() if len(text) else b""
+    wide = np.frombuffer(gap + whole + gap, np.uint8).astype(np.int64)
+    run = np.zeros(max(len(wide) - ORDER, 0), np.int64)  # run i ends at byte i + ORDER
+    for k in range(ORDER + 1):
+        run = (run << 8) | wide[k : len(run) + k]
+    row = np.repeat(np.arange(len(sizes)), sizes + 1)
+    return row, run[np.arange(len(row)) + row * (ORDER - 1)]  # the zeros after an end aren't predicted
+
+
+def _added(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different grams, sorted, and the sums of their n."""
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], n[order]
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+    return grams[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of texts and their number in training texts (column train); others are asked for, so they come with zero."""
+    grams, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], names=["gram", "n"])
     for batch in text_slices(batches, TRAIN_SLICE):
-        data, starts = stream(batch)
-        wide = data.astype(np.uint32)
-        grams = (wide[:-3] << 24) | (wide[1:-2] << 16) | (wide[2:-1] << 8) | wide[3:]
-        keep = np.ones(len(grams), bool)  # gram i ends at byte i + 3; the zeros after an end symbol aren't predicted
-        for skip in (2, 1):
-            at = starts[1:] - 3 - skip
-            keep[at[at < len(grams)]] = False
-        grams, n = np.unique(grams[keep], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-
-class Model:
-    """Code lengths: `table[state, symbol]` (log10 of the probability); `state` by the three bytes before."""
-
-    def __init__(self, symbols: np.ndarray, state: np.ndarray, table: np.ndarray):
-        self.symbols, self.state, self.table = symbols, state, table
-
-    def scores(self, batch: pa.RecordBatch) -> np.ndarray:
-        """log10 of the probability of each text, its end included."""
-        data, starts = stream(batch)
-        s = self.symbols[data]
-        size = self.table.shape[1]
-        context = (s[:-3] * np.int32(size) + s[1:-2]) * np.int32(size) + s[2:-1]
-        cost = self.table.ravel()[self.state[context].astype(np.int64) * size + s[3:]].astype(np.float64)
-        bounds = np.c_[starts[:-1] - 3, starts[1:] - 5].ravel()  # cost i is of byte i + 3
-        bounds[-1] = min(bounds[-1], len(cost))
-        return np.add.reduceat(np.r_[cost, 0.0], bounds)[::2] if len(starts) > 1 else np.zeros(0)
-
-
-def _blend(levels: list[np.ndarray], free: int) -> np.ndarray:
-    """Probabilities from counts of one context each (longest first); `free` symbols were never seen at all."""
-    out, escape, seen = 0.0, np.ones((len(levels[0]), 1)), np.zeros(levels[0].shape, bool)
-    for counts in levels:
-        now = np.where(seen, 0, counts)
-        total, kinds = now.sum(axis=1, keepdims=True), (now > 0).sum(axis=1, keepdims=True)
-        all_ = np.maximum(total + kinds, 1)
-        out = out + escape * now / all_
-        escape = np.where(kinds > 0, escape * kinds / all_, escape)
-        seen |= now > 0
-    return np.where(seen, out, escape / max(free, 1))
-
-
-def build(pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray]) -> Model:
-    """pairs: three-byte runs (two of context) and counts, all; triples: four-byte runs of the contexts kept, and counts."""
-    grams, n = pairs
-    used = np.unique(grams & 255)
-    size = len(used) + 1  # the last symbol is any other byte
-    symbols = np.full(256, len(used), np.int32)
-    symbols[used] = np.arange(len(used))
-    free = 256 - len(used)
-    a, b, c = (symbols[(grams >> k) & 255] for k in (16, 8, 0))
-    c1, c0 = np.zeros((size, size)), np.zeros((1, size))
-    np.add.at(c1, (b, c), n)
-    np.add.at(c0[0], c, n)
-    two, row2 = np.unique(a * size + b, return_inverse=True)
-    c2 = np.zeros((len(two), size))
-    c2[row2, c] = n
-    tables = [_blend([c0], free), _blend([c1, np.repeat(c0, size, 0)], free)]
-    tables.append(_blend([c2, c1[two % size], np.repeat(c0, len(two), 0)], free) if len(two) else np.zeros((0, size)))
-    state2 = np.tile(np.arange(size, dtype=np.int32) + 1, (size, 1))
-    state2.ravel()[two] = np.arange(len(two), dtype=np.int32) + 1 + size
-    state = np.tile(state2.ravel(), size)  # by the last two bytes, for any third
-    grams3, n3 = triples
-    a, b, c, d = (symbols[(grams3 >> k) & 255] for k in (24, 16, 8, 0))
-    three, row3 = np.unique((a.astype(np.int64) * size + b) * size + c, return_inverse=True)
-    first = 1 + size + len(two)
-    for k in range(0, len(three), 4096):
-        ids = three[k : k + 4096]
-        inside = (row3 >= k) & (row3 < k + len(ids))
-        c3 = np.zeros((len(ids), size))
-        c3[row3[inside] - k, d[inside]] = n3[inside]
-        at = state2.ravel()[ids % (size * size)] - 1 - size
-        low = np.where((at >= 0)[:, None], c2[np.maximum(at, 0)], 0) if len(two) else np.zeros((len(ids), size))
-        tables.append(_blend([c3, low, c1[ids % size], np.repeat(c0, len(ids), 0)], free))
-        state[ids] = np.arange(k, k + len(ids)) + first
-    return Model(symbols, state, np.log10(np.concatenate(tables)).astype(np.float32))
-
-
-def train_model(train: DataFrame, contexts: int = CONTEXTS) -> Model:
-    """The model of the texts in train."""
-    grams = cut(train.select("text").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    by = grams.withColumn("context", F.shiftright("gram", 8))
-    kept = by.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") * contexts >= total).select("context")
-    triples = by.join(kept, "context", "left_semi").select("gram", "n").toArrow()
-    pairs = grams.groupBy((F.col("gram") % (1 << 24)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    arrays = [tuple(np.asarray(t[c].combine_chunks(), dtype=np.int64) for c in ("gram", "n")) for t in (pairs, triples)]
-    return build(*arrays)
-
-
-def score(docs: DataFrame, contexts: int = CONTEXTS, hot_words: int = HOT_WORDS) -> DataFrame:
+        train = np.asarray(batch.column(batch.schema.get_field_index("train")).to_numpy(zero_copy_only=False), dtype=bool)
+        row, run = runs(batch)
+        parts = [(grams, n)]
+        for kind in (True, False):
+            own, times = np.unique(run[train[row] == kind], return_counts=True)
+            parts.append((own, times * kind))
+        grams, n = _added(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+        if len(grams) > HELD:
+            yield out()
+            grams, n = grams[:0], n[:0]
+    yield out()
+
+
+class Level:
+    """Contexts of one length: their grams (context and symbol) with counts; of each context the total, the kinds of
+    symbols, and how often those follow the next shorter context (`below`)."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, order: int, lower: Level | None):
+        self.order, (self.grams, self.n) = order, _added(grams, n)
+        self.contexts, start = np.unique(self.grams >> 8, return_index=True)
+        add = lambda x: np.add.reduceat(x, start) if len(start) else x
+        self.total, self.kinds = add(self.n), np.diff(np.r_[start, len(self.grams)])
+        self.below = add(lower.count(self.grams)) if lower else np.zeros(len(self.contexts), np.int64)
+
+    @staticmethod
+    def _find(inside: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(inside, x), max(len(inside) - 1, 0))
+        return at, inside[at] == x if len(inside) else np.zeros(len(x), bool)
+
+    def count(self, grams: np.ndarray) -> np.ndarray:
+        at, there = self._find(self.grams, grams & ((1 << 8 * (self.order + 1)) - 1))
+        return np.where(there, self.n[at], 0) if len(self.n) else np.zeros(len(grams), np.int64)
+
+    def context(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._find(self.contexts, (grams >> 8) & ((1 << 8 * self.order) - 1))
+
+
+def short_levels(grams: np.ndarray, n: np.ndarray) -> list[Level]:
+    """The levels of no, one and two bytes, from all runs of three bytes and their counts."""
+    levels: list[Level] = []
+    for k in range(3):
+        levels.append(Level(grams & ((1 << 8 * (k + 1)) - 1), n, k, levels[-1] if levels else None))
+    return levels
+
+
+def price(grams: np.ndarray, n: np.ndarray, short: list[Level]) -> np.ndarray:
+    """log10 of the probability of the last byte of each gram after the others. The grams are all of their contexts of
+    three bytes, n their counts (0: only asked for)."""
+    levels, known = list(short), n > 0
+    for k in range(3, ORDER + 1):
+        levels.append(Level(grams[known] & ((1 << 8 * (k + 1)) - 1), n[known], k, levels[-1]))
+    out, done = np.zeros(len(grams)), np.zeros(len(grams), bool)
+    kinds = below = np.zeros(len(grams), np.int64)  # of the next longer context: those symbols are excluded
+    for level in reversed(levels):
+        at, met = level.context(grams)
+        if not len(level.contexts):
+            continue
+        own, times = level.kinds[at], level.count(grams)
+        left = np.where(met, own - kinds, 0)
+        size = np.maximum(np.where(met, level.total[at] - below + left, 1), 1)
+        hit, escape = ~done & met & (times > 0), ~done & met & (times == 0) & (left > 0)
+        out += np.log10(np.where(hit, times / size, np.where(escape, left / size, 1.0)))
+        done |= hit
+        kinds, below = np.where(met, own, 0), np.where(met, level.below[at], 0)
+    free = 256 - len(short[0].grams)  # symbols that were never seen
+    return np.where(done, out, out - np.log10(max(free, 1)))
+
+
+def priced(docs: DataFrame) -> DataFrame:
+    """gram, n (in training) and cost of every run in docs (columns text and train)."""
+    grams = cut(docs.select("text", "train").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    triples = grams.where("n > 0").groupBy((F.col("gram") % (1 << 24)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    sc = docs.sparkSession.sparkContext
+    short = sc.broadcast(short_levels(*(np.asarray(triples[c].combine_chunks(), dtype=np.int64) for c in ("gram", "n"))))
+
+    def group(table: pa.Table) -> pa.Table:
+        gram, n = (np.asarray(table[c].combine_chunks(), dtype=np.int64) for c in ("gram", "n"))
+        return pa.table({"gram": gram, "n": n, "cost": price(gram, n, short.value)})
+
+    groups = max(16, grams.count() // GROUP)
+    own = F.pmod(F.xxhash64(F.shiftright("gram", 8) % (1 << 24)), F.lit(groups))
+    return cut(grams.withColumn("own", own).groupBy("own").applyInArrow(group, "gram long, n long, cost double"))
+
+
+def score(docs: DataFrame, hot_grams: int = HOT_GRAMS, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
-    docs = docs.select("doc_id", "text")
-    train = docs.where(~held_out(F.col("doc_id")))
-    counts = cut(train.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
+    docs = docs.select("doc_id", "text", (~held_out(F.col("doc_id"))).alias("train"))
+    counts = cut(docs.where("train").select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = total["n"] or 0, total["v"]
     hot = counts.where(F.col("c") * hot_words >= n_all).toArrow()
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast((hot["word"].combine_chunks(), np.log10(np.asarray(hot["c"].combine_chunks(), dtype=np.float64) + 1)))
-    model = sc.broadcast(train_model(train, contexts))
+    costs = priced(docs)
+    positions = costs.agg(F.sum("n")).first()[0] or 0
+    often = costs.where((F.col("n") > 0) & (F.col("n") * hot_grams >= positions)).orderBy("gram").toArrow()
+    model = sc.broadcast(tuple(np.asarray(often[c].combine_chunks(), dtype=t) for c, t in (("gram", np.int64), ("cost", np.float64))))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Two rows of sums for each document (their words match nothing), and a row for each of its other words."""
+        """Two rows of sums for each document (their keys match nothing), and a row for each of its other words and runs."""
         names, logs = known.value
+        common, cost = model.value
         end = pc.index_in(pa.scalar(END), value_set=names).as_py() if len(names) else None
         for batch in text_slices(batches, 2_000_000):
             row, words = _words(batch)
@@ -182,35 +204,39 @@ def score(docs: DataFrame, contexts: int = CONTEXTS, hot_words: int = HOT_WORDS)
             n = np.bincount(row, minlength=k) + 1
             n_known = np.bincount(row, weights=is_hot[code], minlength=k).astype(np.int64) + (end is not None)
             base = np.bincount(row, weights=gain[code], minlength=k) + (logs[end] if end is not None else 0.0)
-            rare = ~is_hot[code]
-            pair, tf = np.unique(row[rare] * max(len(words.dictionary), 1) + code[rare], return_counts=True)
-            own, word = np.divmod(pair, max(len(words.dictionary), 1))
+            own, word, tf = _pairs(row, code, ~is_hot, len(words.dictionary))
             if end is None:  # the end is then a rare token too
                 own, word, tf = np.r_[own, np.arange(k)], np.r_[word, np.full(k, len(words.dictionary))], np.r_[tf, np.ones(k, np.int64)]
             every = pa.concat_arrays([words.dictionary.cast(pa.string()), pa.array([END])])
+            place, run = runs(batch)
+            kinds, which = np.unique(run, return_inverse=True)
+            at, there = Level._find(common, kinds)
+            bits = np.bincount(place, weights=np.where(there, cost[at] if len(cost) else 0.0, 0.0)[which], minlength=k)
+            whose, gram, times = _pairs(place, which, ~there, len(kinds))
             key = np.asarray(batch.column(batch.schema.get_field_index("h")), dtype=np.int64)
-            mark = pa.array([f" {h}" for h in key.tolist()])
-            who = np.r_[np.arange(k), np.arange(k), own]
+            mark = pa.array([f" {h}" for h in key.tolist()], pa.string())
+            who = np.r_[np.arange(k), np.arange(k), own, whose]
             cols = [
-                pa.concat_arrays([mark, mark, every.take(pa.array(word))]),
+                pa.concat_arrays([mark, mark, every.take(pa.array(word)), pc.binary_join_element_wise("  ", pa.array(kinds).cast(pa.string()).take(pa.array(gram)), "")]),
                 pa.array(key[who]),
                 batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).take(pa.array(who)),
-                pa.array(np.r_[np.zeros(k), np.ones(k), np.full(len(own), 2)].astype(np.int8)),
-                pa.array(np.r_[n, n_known, tf].astype(np.int32)),
-                pa.array(np.r_[model.value.scores(batch), base, np.zeros(len(own))]),
+                pa.array(np.repeat(np.arange(4, dtype=np.int8), [k, k, len(own), len(whose)])),
+                pa.array(np.r_[n, n_known, tf, times].astype(np.int32)),
+                pa.array(np.r_[bits, base, np.zeros(len(own) + len(whose))]),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["word", "h", "doc_id", "kind", "tf", "x"])
 
     kind, tf, x = F.col("kind"), F.col("tf"), F.col("x")
     parts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(rows, "word string, h long, doc_id long, kind byte, tf int, x double")
-    rest = counts.where(F.col("c") * hot_words < n_all)
-    found = parts.join(rest.hint("shuffle_hash"), "word", "left")
+    rest = counts.where(F.col("c") * hot_words < n_all).select("word", F.log10(F.col("c") + 1).alias("v"))
+    seldom = costs.where((F.col("n") == 0) | (F.col("n") * hot_grams < positions)).select(F.concat(F.lit("  "), F.col("gram").cast("string")).alias("word"), F.col("cost").alias("v"))
+    found = parts.join(rest.union(seldom).hint("shuffle_hash"), "word", "left")
     sums = found.groupBy("doc_id", "h").agg(
         F.sum(F.when(kind == 0, 1).otherwise(0)).alias("copies"),
         F.sum(F.when(kind == 0, tf).otherwise(0)).alias("n"),
-        F.sum(F.when(kind == 1, tf).when((kind == 2) & F.col("c").isNotNull(), tf).otherwise(0)).alias("k"),
-        F.sum(F.when(kind == 0, x).otherwise(0.0)).alias("s"),
-        F.sum(F.when(kind == 1, x).when(kind == 2, tf * F.coalesce(F.log10(F.col("c") + 1), F.lit(0.0))).otherwise(0.0)).alias("b"),
+        F.sum(F.when(kind == 1, tf).when((kind == 2) & F.col("v").isNotNull(), tf).otherwise(0)).alias("k"),
+        F.sum(F.when(kind == 0, x).when(kind == 3, tf * F.col("v")).otherwise(0.0)).alias("s"),
+        F.sum(F.when(kind == 1, x).when(kind == 2, tf * F.coalesce("v", F.lit(0.0))).otherwise(0.0)).alias("b"),
     )
     each = sums.select("*", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one"))
     tokens = (F.col("n") / F.col("copies")).cast("long")
