@@ -185,3 +185,14 @@ def test_sheets(spark, tmp_path):
     assert {"raw_transactions", "cleaned_transactions", "processing_codes", "pending_settlement", "anomaly_settlement", "merchant_review", "mcc_review", "cleaning_report"} == set(sheets)
     paths = write_sheets({"processing_codes": sheets["processing_codes"], "x" * 40: sheets["pending_settlement"]}, str(tmp_path), "csv")
     assert paths[1].endswith("/" + "x" * 31) and spark.read.csv(paths[0], header=True).count() == 3
+
+
+def test_rows_without_an_account_stay_open(spark):
+    """Dates of rows that name no account aren't settled by each other's; those of an account are."""
+    from veridra.operators.timestamps import TimestampNormalizer
+
+    rows = [(a, str(k), t) for a in (None, "7") for k, t in enumerate(("13/01/2022 10:00", "02/01/2022 10:00" if a else "02/03/2022 10:00", "01/28/2022 10:00"), 1)]
+    rows += [("8", "1", "01/20/2022 10:00"), ("8", "2", "02/01/2022 10:00"), ("8", "3", "20/02/2022 10:00")]
+    df = spark.createDataFrame(rows, "ACCOUNT_ID string, TXN_SEQ string, TXN_DATE_TIME string")
+    got = {(r.ACCOUNT_ID, r.TXN_SEQ): (str(r.TXN_TS)[:10], r.TXN_TS_AMBIGUOUS) for r in TimestampNormalizer()(df).collect()}
+    assert got[(None, "2")] == ("2022-02-03", True) and got[("8", "2")] == ("2022-02-01", False)

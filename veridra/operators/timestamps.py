@@ -64,27 +64,41 @@ def forced(df: DataFrame) -> DataFrame:
     return out.withColumn("_how", F.when(day, "forced_day_first").when(month, "forced_month_first"))
 
 
-def by_macro(df: DataFrame, column: str, context: tuple[str, ...]) -> DataFrame:
-    """df with open rows settled whose figure was placed in the month of exactly one of the two readings."""
-    key = F.concat_ws("|", text(F.col(column)), *(text(F.col(c)) for c in context))
-    df = df.withColumn("_key", key)
-    month = lambda c: F.date_format(c, "yyyy-MM")
-    months = df.where("_out is not null").groupBy("_key").agg(F.collect_set(month("_out")).alias("_months"))  # a few hundred months at most
-    out = df.join(months, "_key", "left")
-    open_row = (F.col("_spelling") == "slash_minute") & F.col("_out").isNull()
-    fits = [true(F.array_contains("_months", month(c))) for c in ("_mf", "_df")]
-    one = true(open_row & (fits[0] != fits[1]))
-    out = out.withColumn("_hit", one).withColumn("_out", F.when(F.col("_hit"), F.when(fits[0], F.col("_mf")).otherwise(F.col("_df"))).otherwise(F.col("_out")))
-    return out.withColumn("_how", F.when(F.col("_hit"), F.lit(f"macro[{column}]")).otherwise(F.col("_how"))).drop("_key", "_months", "_hit")
+def by_macros(df: DataFrame, oracles) -> DataFrame:
+    """df with open rows settled whose figure was placed in the month of exactly one of the two readings.
+
+    What settles a row is its figures and the months of its readings, so the oracles take turns (a later one also sees
+    what the earlier ones settled) on the different combinations of those; df is read for them once and joined once,
+    however many oracles there are. The combinations are a few hundred months wide at most for each figure."""
+    slash, month = F.col("_spelling") == "slash_minute", lambda c: F.date_format(c, "yyyy-MM")
+    keys = [f"_key{k}" for k in range(len(oracles))]
+    same = [*keys, "_month_mf", "_month_df"]
+    df = df.withColumns({key: F.concat_ws("|", text(F.col(column)), *(text(F.col(c)) for c in context)) for key, (column, context) in zip(keys, oracles)})
+    df = df.withColumns({"_month_mf": month("_mf"), "_month_df": month("_df")})
+    seen = df.where(slash).select(*same, month("_out").alias("_placed")).distinct()
+    seen = seen.withColumn("_open", F.col("_placed").isNull()).withColumn("_by", F.lit(None).cast("string"))
+    for key, (column, _) in zip(keys, oracles):
+        seen = seen.withColumn("_months", F.collect_set("_placed").over(Window.partitionBy(key)))
+        fits = [true(F.array_contains("_months", F.col(c))) for c in ("_month_mf", "_month_df")]
+        hit = F.col("_placed").isNull() & (fits[0] != fits[1])
+        seen = seen.withColumn("_hit", hit).withColumn("_placed", F.when(F.col("_hit"), F.when(fits[0], F.col("_month_mf")).otherwise(F.col("_month_df"))).otherwise(F.col("_placed")))
+        seen = seen.withColumn("_by", F.when(F.col("_hit"), F.lit(f"macro[{column}]")).otherwise(F.col("_by"))).drop("_months", "_hit")
+    settled = seen.where("_open and _by is not null").select(*same, "_by", (F.col("_placed") == F.col("_month_mf")).alias("_first"))
+    out = df.join(settled, same, "left")
+    hit = F.col("_by").isNotNull() & slash & F.col("_out").isNull()
+    out = out.withColumn("_hit", hit).withColumn("_out", F.when(F.col("_hit"), F.when(F.col("_first"), F.col("_mf")).otherwise(F.col("_df"))).otherwise(F.col("_out")))
+    return out.withColumn("_how", F.when(F.col("_hit"), F.col("_by")).otherwise(F.col("_how"))).drop(*same, "_by", "_first", "_hit")
 
 
 def by_sequence(df: DataFrame, group: str, order: str) -> DataFrame:
-    """df with open rows settled by the only reading between the placed rows next before and after in their group."""
-    own = Window.partitionBy(group).orderBy(F.col(order).try_cast("long"))
+    """df with open rows settled by the only reading between the placed rows next before and after in their group. Rows
+    without a group have no neighbours; they are spread, as they would meet in one task."""
+    apart = F.when(F.col(group).isNull(), F.xxhash64(F.col(order)))
+    own = Window.partitionBy(group, apart).orderBy(F.col(order).try_cast("long"))
     low = F.last("_out", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
     high = F.first("_out", ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))
     out = df.withColumn("_low", low).withColumn("_high", high)
-    open_row = (F.col("_spelling") == "slash_minute") & F.col("_out").isNull()
+    open_row = (F.col("_spelling") == "slash_minute") & F.col("_out").isNull() & F.col(group).isNotNull()
     month, day = (true(F.col(c).between(F.col("_low"), F.col("_high"))) for c in ("_mf", "_df"))
     out = out.withColumn("_pick", F.when(true(open_row) & month & ~day, "bracket_month_first").when(true(open_row) & day & ~month, "bracket_day_first"))
     pick = F.col("_pick")
@@ -123,9 +137,9 @@ class TimestampNormalizer(Step):
         if source not in df.columns:
             return df
         out = forced(read(df, source))
-        for column, context in self.config.get("macro_oracles", ORACLES):
-            if {column, *context} <= set(df.columns):
-                out = by_macro(out, column, tuple(context))
+        oracles = [(column, tuple(context)) for column, context in self.config.get("macro_oracles", ORACLES) if {column, *context} <= set(df.columns)]
+        if oracles:
+            out = by_macros(out, oracles)
         group, order = self.config.get("group_col", "ACCOUNT_ID"), self.config.get("sequence_col", "TXN_SEQ")
         if {group, order} <= set(df.columns):
             out = by_sequence(out, group, order)
