@@ -16,16 +16,16 @@ Metric = tuple[str, Column, bool]
 def measure(df: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
     """Rows at, metric and value of the metrics, from one aggregate over df."""
     if not metrics:
-        return df.sparkSession.createDataFrame([], "at int, metric string, value long")
+        return df.sparkSession.createDataFrame([], "at long, metric string, value long")
     row = df.agg(*(value.cast("long").alias(f"m{k}") for k, (_, value, _) in enumerate(metrics)))
-    each = F.array(*(F.struct(F.lit(k).alias("at"), F.lit(name).alias("metric"), F.coalesce(f"m{k}", F.lit(0)).alias("value"), F.lit(always).alias("always")) for k, (name, _, always) in enumerate(metrics)))
+    each = F.array(*(F.struct(F.lit(k).cast("long").alias("at"), F.lit(name).alias("metric"), F.coalesce(f"m{k}", F.lit(0)).alias("value"), F.lit(always).alias("always")) for k, (name, _, always) in enumerate(metrics)))
     return row.select(F.inline(each)).where("always or value > 0").select("at", "metric", "value")
 
 
 def counted(df: DataFrame, prefix: str, column: str) -> DataFrame:
     """Rows at, metric and value: how often each non-empty value comes, the commonest first in `at`."""
     rows = df.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy(column).agg(F.count("*").alias("value"))
-    return rows.select((-F.col("value")).cast("int").alias("at"), F.concat(F.lit(prefix + "["), column, F.lit("]")).alias("metric"), "value")
+    return rows.select((-F.col("value")).cast("long").alias("at"), F.concat(F.lit(prefix + "["), column, F.lit("]")).alias("metric"), "value")
 
 
 class Step:

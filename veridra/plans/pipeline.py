@@ -61,6 +61,12 @@ class TransactionCleaner:
         self.output = df
         return df
 
+    def close(self) -> None:
+        """Lets go of what persist kept."""
+        for _, _, out in self.stages:
+            if self.persist:
+                out.unpersist()
+
     def step(self, name: str) -> Step | None:
         return next((s for s, _, _ in self.stages if s.name == name), None)
 
