@@ -280,7 +280,7 @@ oracle(
     "eda_backwards",
     ", q AS (SELECT TXN_DATE_TIME AS raw, txn < lag(txn) OVER (PARTITION BY account ORDER BY k) AS back FROM e JOIN t ON k = _row_ix WHERE txn IS NOT NULL) SELECT regexp_replace(regexp_replace(raw, '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g') AS shape, count(*) AS rows_out_of_order FROM q WHERE back GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
 )
-oracle("eda_months", "SELECT user_id % 10 AS user_id, strftime(ts, '%Y-%m') AS month, count(*) AS rows FROM events GROUP BY ALL", "")
+oracle("eda_months", "SELECT user_id, strftime(ts, '%Y-%m') AS month, count(*) AS rows FROM events GROUP BY ALL", "")
 oracle("eda_spread", "SELECT PROCESSING_TYPE AS processing_type, count(*) AS size, min(v) AS min, median(v) AS median, max(v) AS max FROM (SELECT *, CASE WHEN regexp_matches(TXN_AMOUNT, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN try_cast(TXN_AMOUNT AS double) END AS v FROM t) GROUP BY 1", _T)
 oracle(
     "seq_spearman",
@@ -345,16 +345,24 @@ oracle(
     STAMPS,
 )
 oracle("eda_lenient", f"SELECT k, CASE WHEN {_nothing} OR slash AND df IS NULL OR k % 6 IN (2, 4) THEN NULL WHEN slash THEN {stamp('df')} WHEN k % 6 = 0 THEN {stamp('ts')} ELSE {stamp('plain')} END AS seen FROM q", STAMPS)
-MACRO = f"""{STAMPS}, g AS (SELECT k, plain, strftime(plain, '%Y-%m') AS month, strftime(plain, '%Y-%m') || '|' || MERCHANT_COUNTRY AS pair, MERCHANT_COUNTRY AS country, INTEREST_RATE_INDEX AS rate, INFLATION_INDEX AS inflation, IS_HOLIDAY_MONTH AS holiday FROM q WHERE NOT slash),
-s1 AS (SELECT month AS key, any_value(rate) AS value FROM g WHERE rate IS NOT NULL AND plain IS NOT NULL GROUP BY 1),
-s2 AS (SELECT pair AS key, any_value(inflation) AS value FROM g WHERE inflation IS NOT NULL AND plain IS NOT NULL GROUP BY 1),
-s3 AS (SELECT pair AS key, any_value(holiday) AS value FROM g WHERE holiday IS NOT NULL AND plain IS NOT NULL GROUP BY 1),
+MACRO = f"""{STAMPS}, g AS (SELECT k, txn_ts AS plain, NOT amb AND (how IS NULL OR starts_with(how, 'forced')) AS sure, strftime(txn_ts, '%Y-%m') AS month, strftime(txn_ts, '%Y-%m') || '|' || MERCHANT_COUNTRY AS pair, MERCHANT_COUNTRY AS country, INTEREST_RATE_INDEX AS rate, INFLATION_INDEX AS inflation, IS_HOLIDAY_MONTH AS holiday FROM v),
+s1 AS (SELECT month AS key, any_value(rate) AS value FROM g WHERE rate IS NOT NULL AND plain IS NOT NULL AND sure GROUP BY 1),
+s2 AS (SELECT pair AS key, any_value(inflation) AS value FROM g WHERE inflation IS NOT NULL AND plain IS NOT NULL AND sure GROUP BY 1),
+s3 AS (SELECT pair AS key, any_value(holiday) AS value FROM g WHERE holiday IS NOT NULL AND plain IS NOT NULL AND sure GROUP BY 1),
 j AS (SELECT g.*, s1.value AS v1, s2.value AS v2, s3.value AS v3 FROM g LEFT JOIN s1 ON month = s1.key LEFT JOIN s2 ON pair = s2.key LEFT JOIN s3 ON pair = s3.key)"""
 oracle("macro_extract", "SELECT 'INTEREST_RATE_INDEX' AS series, key, value FROM s1 UNION ALL SELECT 'INFLATION_INDEX', key, value FROM s2 UNION ALL SELECT 'IS_HOLIDAY_MONTH', key, value FROM s3", MACRO)
 oracle("macro_recover", "SELECT k, cast(coalesce(rate, v1) AS double) AS rate, cast(coalesce(inflation, v2) AS double) AS inflation FROM j", MACRO)
 _covered = lambda seen, found, outside="false": f"CASE WHEN {seen} IS NOT NULL THEN 'OBSERVED' WHEN {outside} THEN 'OUT_OF_PANEL' WHEN {found} IS NOT NULL THEN 'RECOVERED' ELSE 'UNRECOVERABLE' END"
 oracle("macro_coverage", f"SELECT k, {_covered('rate', 'v1')} AS interest_rate_index, {_covered('inflation', 'v2', chr(40) + 'country IN (' + ', '.join(repr(c) for c in rules.OUT_OF_PANEL) + '))')} AS inflation_index, {_covered('holiday', 'v3')} AS is_holiday_month FROM j", MACRO)
 oracle("macro_coerce", "SELECT k, upper(coalesce(holiday, v3)) = 'TRUE' AS holiday FROM j", MACRO)
+oracle(
+    "macro_metrics",
+    counts(
+        f"(SELECT {_covered('rate', 'v1')} AS c1, {_covered('inflation', 'v2', chr(40) + 'country IN (' + ', '.join(repr(c) for c in rules.OUT_OF_PANEL) + '))')} AS c2, {_covered('holiday', 'v3')} AS c3 FROM j)",
+        *((f"{name}.{x.lower()}", n_if(f"{c} = '{x}'"), False) for name, c in (("INTEREST_RATE_INDEX", "c1"), ("INFLATION_INDEX", "c2"), ("IS_HOLIDAY_MONTH", "c3")) for x in ("OBSERVED", "RECOVERED", "UNRECOVERABLE", "OUT_OF_PANEL")),
+    ),
+    MACRO,
+)
 
 # -- the report: every step's metrics over the view without repeats, one after another
 _no_repeats = (

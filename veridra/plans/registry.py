@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridra import rules
-from veridra.functions.text import text
+from veridra.functions.text import text, true
 from veridra.operators import amounts, codes, dates, duplicates, geo, macro, mcc, merchant, missing, profile, timestamps
 from veridra.operators.consistency import ConsistencyValidator
 from veridra.plans import dirty
@@ -41,7 +41,12 @@ def stamp_text(c: str | Column) -> Column:
 
 
 def staging(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new path in the shared folder of the session; a folder of this machine only where all of Spark runs on it."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
     return f"{root}/veridra-{uuid.uuid4().hex}"
 
 
@@ -437,12 +442,15 @@ def ts_metrics(spark, sf_dir):
 
 
 def _dated(spark, sf_dir):
-    """The forecast rows with a time that is known without the macro columns."""
-    return dirty.forecast(spark, sf_dir).where(~F.col("TXN_DATE_TIME").rlike(r"^\d{2}/")).transform(timestamps.TimestampNormalizer())
+    """All forecast rows with their times."""
+    return dirty.forecast(spark, sf_dir).transform(timestamps.TimestampNormalizer(keep_how=True))
 
 
 def _series(df: DataFrame) -> dict[str, DataFrame]:
-    return {name: macro.extract(df, name, context) for name, context in rules.MACRO_SERIES}
+    """The series, on the evidence of the rows whose month is written or forced. Ambiguous rows are read month first, and
+    what figures or neighbours settle is inferred, so constancy can't be asked of those; they are recovered all the same."""
+    sure = df.where(~F.col("TXN_TS_AMBIGUOUS") & ~true(~F.col("_how").startswith("forced")))
+    return {name: macro.extract(sure, name, context) for name, context in rules.MACRO_SERIES}
 
 
 @query
@@ -471,6 +479,13 @@ def macro_coerce(spark, sf_dir):
     return _macro(spark, sf_dir).select(K(), F.col("IS_HOLIDAY_MONTH_CLEANED").alias("holiday"))
 
 
+@query
+def macro_metrics(spark, sf_dir):
+    df = _dated(spark, sf_dir)
+    step = macro.MacroCleaner(series=_series(df))
+    return metrics(step.metrics(df, step(df)))
+
+
 # -- profiles
 
 
@@ -557,7 +572,7 @@ def eda_backwards(spark, sf_dir):
 
 @query
 def eda_months(spark, sf_dir):
-    return profile.months(_events(spark, sf_dir).withColumn("user_id", F.col("user_id") % 10), "user_id", "ts")
+    return profile.months(_events(spark, sf_dir), "user_id", "ts")
 
 
 @query
