@@ -196,3 +196,12 @@ def test_rows_without_an_account_stay_open(spark):
     df = spark.createDataFrame(rows, "ACCOUNT_ID string, TXN_SEQ string, TXN_DATE_TIME string")
     got = {(r.ACCOUNT_ID, r.TXN_SEQ): (str(r.TXN_TS)[:10], r.TXN_TS_AMBIGUOUS) for r in TimestampNormalizer()(df).collect()}
     assert got[(None, "2")] == ("2022-02-03", True) and got[("8", "2")] == ("2022-02-01", False)
+
+
+def test_one_call_writes_sheets_and_prints_the_report(spark, tmp_path, capsys):
+    from veridra.__main__ import main
+
+    spark.createDataFrame([("1", "2022-03-10 00:51:36", "-104.39", "USD"), ("2", "soon", "(808.41)", "USD")], "TXN_ID string, TXN_DATE_TIME string, TXN_AMOUNT string, TXN_CCY string").write.parquet(f"{tmp_path}/raw")
+    paths = main([f"{tmp_path}/raw", f"{tmp_path}/out"], spark)
+    assert {"raw_transactions", "cleaned_transactions", "cleaning_report"} <= {p.rsplit("/", 1)[1] for p in paths}
+    assert spark.read.parquet(f"{tmp_path}/out/cleaned_transactions").count() == 2 and "input_rows\t2" in capsys.readouterr().out

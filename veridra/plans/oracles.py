@@ -143,7 +143,7 @@ oracle(
     "merchant_metrics",
     counts("e", ("matches_status.pending", n_if("NOT recognised"), True), ("merchants_distinct", "count(DISTINCT canonical)", True), ("merchant.unrecognised_rows", n_if("NOT recognised"), True), ("merchant.unrecognised_names", "count(DISTINCT CASE WHEN NOT recognised THEN canonical END)", True), ("processor_prefix_stripped", n_if("k % 12 = 0"), True), ("empty_after_clean", n_if("canonical = ''"), True)),
 )
-oracle("trap_pairs", "SELECT 'waitrose_waterstones' AS id, 0::bigint AS members_seen, false AS merged UNION ALL SELECT 'mezyan_mezyane', 0::bigint, false", "")
+oracle("trap_pairs", "SELECT * FROM (VALUES ('waitrose_waterstones', 0::bigint, false), ('mezyan_mezyane', 0::bigint, false), ('careem_crepaway', (SELECT count(DISTINCT name) FROM e WHERE name = 'CREPAWAY'), false), ('total_family', 0::bigint, false)) AS t(id, members_seen, merged)")
 
 # -- codes of merchants: decisions by counting, tails by the formula
 WITH_REPEATS = f"""WITH b AS ({_b}), r AS ({_r}), t AS (SELECT {_raw}, min(_row_ix) AS _row_ix FROM r GROUP BY {_raw}), e0 AS ({EXPECTED}), e1 AS ({SIGNED}),
