@@ -67,8 +67,8 @@ def test_similar_equals_brute_force(spark):
         if x != y and "".join(x).strip() and "".join(y).strip():
             rows.append(("".join(x), "".join(y)))
     sets = [[{t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in pair] for pair in rows]
-    df = spark.createDataFrame([(k, *pair, *map(len, sets[k])) for k, pair in enumerate(rows)], "k long, x string, y string, nx int, ny int")
-    got = df.select("k", linededup.similar(*map(F.col, ("x", "y", "nx", "ny")), 0.8).alias("like"), F.size(linededup.shingles(F.col("x"))).alias("n")).collect()
+    df = spark.createDataFrame([(k, *pair) for k, pair in enumerate(rows)], "k long, x string, y string")
+    got = df.select("k", linededup.similar(*(F.array_distinct(linededup.shingles(F.col(c))) for c in "xy"), 0.8).alias("like"), F.size(F.array_distinct(linededup.shingles(F.col("x")))).alias("n")).collect()
     assert len(got) == len(rows) and sum(r.like for r in got) > 100
     for r in got:
         s, t = sets[r.k]
@@ -107,6 +107,19 @@ def test_recall_by_line_length(spark):
     assert met["short"] == 1 and all(met[n] >= (0.99 if n < 20 else 0.97) * 300 for n in (1, 2, 3, 4, 5, 6, 8, 12, 20, 40))
 
 
+def test_links_between_lines_of_one_word(spark):
+    """A thousand addresses in two spellings each, one of a thousand other tokens without spaces: all find their pair."""
+    pick, texts = random.Random(3), []
+    token = lambda n: "".join(pick.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    for k in range(1000):
+        x = f"https://www.{token(60)}/index.html" if k % 2 else token(pick.randint(40, 90))
+        at = pick.randrange(12, len(x) - 12) if k % 2 else 0
+        texts += [x, x[:at] + "_" + x[at + 1 :]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lost = [r.doc_id for r in linededup.report(df).where("n_removed = 0").collect() if r.doc_id % 2]
+    assert len(lost) <= 10, [texts[i] for i in lost]
+
+
 def test_hot_keys_lose_no_link(spark):
     """Lines of a few templates, all under one key: the components are those of brute force."""
     pick, texts = random.Random(9), []
@@ -153,6 +166,25 @@ def test_leaks_equal_brute_force(spark):
     assert len(want) > 10 and len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.1 * len(want)
 
 
+def test_recall_of_paraphrases(spark):
+    """Benchmark passages in other prose, with words swapped at random."""
+    root, pick = "/root/testdata/sf0.01", random.Random(8)
+    bench = spark.read.parquet(f"{root}/benchmark.parquet")
+    items = [(r.item_id, r.text.split()) for r in bench.collect() if r.text and len(r.text.split()) >= 12]
+    hosts = [r.text.split() for r in spark.read.parquet(f"{root}/documents.parquet").limit(400).collect() if r.text]
+    words, rows, planted = [w for h in hosts for w in h], [], {}
+    for share in (0.1, 0.2, 0.3, 0.4):
+        for item, text in items:
+            new = [pick.choice(words) if pick.random() < share else w for w in text]
+            host = pick.choice(hosts)[:120]
+            planted[len(rows)] = (item, share)
+            rows.append((len(rows), " ".join([*host, *new, *host])))
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    found = collections.Counter(share for d, (item, share) in planted.items() if (d, item) in got)
+    print("paraphrases", len(items), dict(found))
+    assert all(found[share] >= (0.95 if share < 0.35 else 0.9) * len(items) for share in (0.1, 0.2, 0.3, 0.4))
+
+
 def test_paraphrases_and_edge_cases(spark):
     item = "quorble fenwick attends the marsh where olden zibbets gather and pelliform reeds conceal their amber nests"
     changed = item.replace("attends", "visits").replace("conceal", "hide").replace("and", "while")
@@ -210,3 +242,16 @@ def test_stages(spark, stages):
 def test_run_equals_stages(spark, stages):
     got = corpus_pipeline.run(spark, TINY).collect()
     assert sorted(map(str, got)) == sorted(map(str, stages[-1][2].collect()))
+
+
+def test_stages_take_odd_rows(spark):
+    """Null and empty values, a very long text, repeated rows, columns whose names clash, and no rows at all."""
+    prose = " ".join(f"word{k} some other things" for k in range(40))
+    rows = [(1, prose, "en", "web"), (1, prose, "en", "web"), (2, None, None, None), (3, "", "en", "web"), (None, prose + " end", "en", None), (4, "\n".join([prose] * 300), "en", "web"), (5, " \n\n", "xx", "y")]
+    df = spark.createDataFrame([(*r, 0, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id long, key long, root long")
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, TINY).collect()
+            assert len(out) <= docs.count() and (name == "bpe" or not out or list(out[0].asDict()) == docs.columns), name
+            if name in ("lines", "bpe"):
+                assert len(out) == docs.count()

@@ -8,10 +8,14 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker turns into arrays at once; one longer text makes a slice of its own.
 SLICE_CHARS = 2_000_000
 
+#: Rows up to this number (16 bytes each) are broadcast to the larger side of a join; more are joined by a shuffle.
+SMALL = 1_000_000
+
 #: Word separators of the contracts: the ASCII white space characters.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -21,10 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session. Only where none is configured (tests), a local one is set."""
+    """The shared folder of the session. Only where none is configured and all of Spark runs here (tests), a local one is
+    set; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veridra-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="veridra-"))
     return sc.getCheckpointDir()
 
 
@@ -34,6 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it holds at most SMALL rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose texts (column "text") hold about `limit` bytes."""
     import numpy as np

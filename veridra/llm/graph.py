@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import cut
+from veridra.llm.common import SMALL, cut
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Columns node and root (the least node of the component) for every node with an edge.
 
     Each round hangs all larger neighbours of a node to the least node it sees (large star), then joins the
-    smaller ones (small star). Rounds grow with the logarithm of the longest path. The edges of each round are
-    stored in the checkpoint folder, so neither lineage nor driver memory grows. Null ends, loops and repeated
+    smaller ones (small star). While the least neighbours of all nodes are few enough they are broadcast, so a hub's
+    edges stay where they are; beyond that Spark's skew join splits them. Rounds grow with the logarithm of the longest path. The edges of each round are
+    stored in the checkpoint folder, so neither lineage nor driver memory grows; more than max_rounds raise. Null ends, loops and repeated
     edges are ignored; an empty frame gives no rows.
     """
     u, v = F.col("u"), F.col("v")
@@ -25,10 +26,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             break
         mark = (new["n"], new["x"])
         both = now.union(now.select(v, u))
+        few = F.broadcast if 2 * new["n"] <= SMALL else lambda x: x  # there are no more nodes than ends of edges
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(v > u).join(few(least), "u").select(v.alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
+        small = large.join(few(least), "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")

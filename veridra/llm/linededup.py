@@ -1,17 +1,19 @@
 """Operator 9, fuzzy line dedup by MinHash (DataFrame and SQL functions only).
 
-Lines are told apart by a 64-bit hash of their text. Signatures are made within a row, without exploding shingles:
-the shingles of eight characters that begin at word starts are hashed and sorted into a ring; band j is the three
-hashes that follow anchor j on it (the three least under the order that starts there, so two lines share a band
-with about the third power of their similarity). Lines of up to SHORT characters, which have few words, have a second
-ring of all their five-character shingles; longer ones have EXTRA more anchors. Of 300 pairs at 0.8 to 0.85 (short
-lines: 0.8 and more) none is missed up to 20 words and five of 40 words (`test_recall_by_line_length`). What is stored of a line is its place, its hash and its keys, not its text.
-
-Keys that hold two or more lines give pairs: a key of up to `hot` different lines (copies count once) all pairs; a
-larger one links each of its lines to four of them picked by hash (other ones under each key). Pairs are then
-verified by the exact Jaccard similarity of all their five-character shingles, and linked pairs are joined by
-distributed union-find. What a hot key still holds in different components is paired by prefix filtering (`unsettled`),
-so every pair that shares a key is checked, in one component already, or below the similarity for certain. Of each
+Lines are told apart by a 64-bit hash of their text. Signatures are made within a row, without exploding shingles.
+A ring is the sorted hashes of a line's shingles; band j is the three hashes that follow anchor j on it (the three least
+under the order that starts there, so two lines share a band with about the third power of their similarity). All lines
+have a ring of their longer words, each with the start of the next. Lines of few words (up to SHORT characters, or long words) also
+have one of all runs of RUN characters, those of up to TINY characters one of all five-character shingles; longer lines
+have more bands of words. Of 300 pairs at 0.8 to 0.85 (short lines: 0.8 and more) at most three share no key, at any
+length from one word to forty (`test_recall_by_line_length`). What is stored of a line is its place, its hash and its
+keys, not its text.
+
+Keys that hold two or more lines give pairs, verified by the exact Jaccard similarity of all their five-character
+shingles and joined by distributed union-find in three turns, so groups of copies aren't paired out. First come pairs
+that such a group is joined by (`stars`). Then, under keys of up to `hot` different lines (copies count once), all pairs
+that are in different components yet; last, among lines that larger keys tie together, those of them that pass a prefix filter (`unsettled`). So
+every pair that shares a key is checked, in one component already, or below the similarity for certain. Of each
 component the line of the least doc_id and place stays.
 
 Results: blank lines always stay and null text has no lines; rows that share a doc_id (or have none, which sorts
@@ -25,24 +27,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import cut
+from veridra.llm.common import cut, small
 from veridra.llm.graph import components
 
-BANDS, ROWS, SHINGLE, ANCHORED = 8, 3, 5, 8
-#: Lines of up to SHORT characters are signed by all their shingles too; longer ones have EXTRA more bands of words.
-SHORT, EXTRA = 160, 4
-SIMILARITY, HOT, PIVOTS = 0.8, 32, 4
-#: Keys and ids up to this number (16 bytes each) are broadcast to the larger side; more are joined by a shuffle.
-SMALL = 1_000_000
+#: Hashes of a band, and characters of a shingle: of the similarity, and of the ring of short lines.
+ROWS, SHINGLE, RUN = 3, 5, 8
+#: Bands of the ring of words that all lines have, that the other lines have, and bands of the ring of runs.
+COMMON, LONG_BANDS, RUN_BANDS = 6, 6, 10
+#: Lines of up to SHORT characters, and those of fewer than one word in SPARSE characters, have the ring of runs.
+SHORT, SPARSE = 160, 32
+#: Words of fewer than LEAST characters give no shingle of their own: the commonest words are short, and three of those
+#: together would be a key of a great many lines that have nothing else in common. A shingle is a word and the first
+#: NEXT characters after it.
+LEAST, NEXT = 5, 3
+#: Lines of up to TINY characters have a third ring, of their shingles.
+TINY = 32
+SIMILARITY, HOT = 0.8, 32
 BLANKS = " \t\n\x0b\x0c\r"
-#: Word starts: after white space, and every character of scripts that put no space between words.
-STARTS = rf"(?s)(?=(.{{1,{ANCHORED}}}))(?:[\u0e00-\u9fff]|[^\s\u0e00-\u9fff]+)\s*"
-ALL = rf"(?s)(?=(.{{{SHINGLE}}}))."
-#: A word, or a piece of one, with the spaces around it; the group also has the SHINGLE - 1 characters that follow.
-_WORD = r"\s*(?:[\u0e00-\u9fff]|[^\s\u0e00-\u9fff]{1,32})\s*"
-UNITS = rf"(?s)(?=({_WORD}.{{0,{SHINGLE - 1}}})){_WORD}"
-#: Lines of more characters are verified by their whole sets, in time linear in their length.
-LONG = 4096
 NO_ID = "9223372036854775808"
 
 
@@ -57,38 +58,55 @@ def lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "pos", "line", F.xxhash64("line").alias("id"))
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, id and keys (one for each band) of each line. Each step is its own projection, so all but the hashing
-    of single shingles stays in generated code and nothing is worked out twice."""
-    keep = ["doc_id", "pos", "id"]
-    step = (1 << 64) // BANDS
-    even = [-(1 << 63) + j * step + 1 for j in range(BANDS)]
-    between = [-(1 << 63) + (2 * j + 1) * (BANDS // EXTRA) * step // 2 + 1 for j in range(EXTRA)]
-    none = F.array().cast("array<string>")
-    chars = F.when(F.length("line") <= SHORT, F.regexp_extract_all("line", F.lit(ALL), F.lit(1))).otherwise(none)
-    words = F.regexp_extract_all("line", F.lit(STARTS), F.lit(1))
-    out = lines(docs).select(*keep, (F.length("line") <= SHORT).alias("short"), F.array_distinct(words).alias("w"), F.array_distinct(chars).alias("c"))
-    keep.append("short")
-    out = out.select(*keep, *(F.sort_array(F.transform(x, lambda x: F.xxhash64(x))).alias(x) for x in "wc"))
-    marks = {"w": even + between, "c": even}
-    rings = [f(x) for x in "wc" for f in (
-        lambda x: F.size(x).alias(f"n{x}"), lambda x: F.sort_array(F.concat(x, F.array(*map(F.lit, marks[x])))).alias(f"marked{x}"), lambda x: F.concat(x, F.slice(x, 1, ROWS)).alias(f"ring{x}"))]
-    out = out.select(*keep, *rings)
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once: as a plain column it would be made anew at every use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def shingles(line: Column, size: int = SHINGLE) -> Column:
+    """Hashes of all runs of `size` characters of a line, repeats included; a shorter line is its own run."""
+    wide = 4 * size  # in UTF-32 each character has four bytes, so a run is found without counting characters
+    starts = lambda b: F.sequence(F.lit(1), F.greatest(F.length(b) - (wide - 1), F.lit(1)), F.lit(4))
+    return _let(F.encode(line, "UTF-32"), lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(wide)))))
 
-    def key(x: str, j: int) -> Column:
-        n, before = F.col(f"n{x}"), sum(m < marks[x][j] for m in marks[x])
-        at = F.array_position(f"marked{x}", F.lit(marks[x][j])).cast("int") - before
-        return F.xxhash64(F.lit(j if x == "w" else 100 + j), F.slice(f"ring{x}", F.when(at > n, 1).otherwise(at), F.least(n, F.lit(ROWS))))
 
-    own = F.array(*(key("w", j) for j in range(BANDS)))
-    more = F.when(F.col("short"), F.when(F.col("nc") > 0, F.array(*(key("c", j) for j in range(BANDS)))).otherwise(F.array().cast("array<bigint>")))
-    return out.select("doc_id", "pos", "id", F.concat(own, more.otherwise(F.array(*(key("w", j) for j in range(BANDS, BANDS + EXTRA))))).alias("keys"))
+def words(line: Column) -> Column:
+    """Hashes of the words of a line, each with the first NEXT characters of the word after it, but of the short ones."""
+    shingle = lambda p: lambda x, i: F.when(F.length(x) >= LEAST, F.xxhash64(x, F.substring(F.get(p, i + 1), 1, NEXT)))
+    return F.array_compact(_let(F.split(line, " "), lambda p: F.transform(p, shingle(p))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it holds at most SMALL rows."""
-    df = cut(df)
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+def marks(bands: int) -> list[int]:
+    """Anchors on a ring of 64-bit hashes, spread evenly."""
+    return [-(1 << 63) + j * ((1 << 64) // bands) + 1 for j in range(bands)]
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, id and keys (one for each band of each ring) of each line.
+
+    The steps are separate projections: only what must runs interpreted. The last would be one generated method too
+    long for the JIT compiler; a lambda beside it keeps Spark from fusing it, and then it is generated in parts."""
+    line, ring = F.col("line"), {"w": marks(COMMON + LONG_BANDS), "c": marks(RUN_BANDS), "t": marks(RUN_BANDS)}
+    out = lines(docs).select("doc_id", "pos", "id", line, F.length(line).alias("size"), F.sort_array(F.array_distinct(words(line))).alias("w"))
+    short = (F.col("size") <= SHORT) | (F.size("w") * SPARSE < F.col("size"))
+    none = F.array().cast("array<bigint>")
+    runs = lambda size, where: F.when(where, F.sort_array(F.array_distinct(shingles(line, size)))).otherwise(none)
+    out = out.select("doc_id", "pos", "id", "w", runs(RUN, short).alias("c"), runs(SHINGLE, F.col("size") <= TINY).alias("t"))
+    steps = [f(x) for x in ring for f in (
+        lambda x: F.size(x).alias(f"n{x}"), lambda x: F.sort_array(F.concat(x, F.array(*map(F.lit, ring[x])))).alias(f"marked{x}"), lambda x: F.concat(x, F.slice(x, 1, ROWS)).alias(f"ring{x}"))]
+    out = out.select("doc_id", "pos", "id", *steps)
+
+    def key(x: str, j: int) -> Column:
+        n, at = F.col(f"n{x}"), F.array_position(f"marked{x}", F.lit(ring[x][j])).cast("int") - j
+        return F.xxhash64(F.lit(100 * "wct".index(x) + j), F.slice(f"ring{x}", F.when(at > n, 1).otherwise(at), F.least(n, F.lit(ROWS))))
+
+    # every other mark of the words' ring is common to all lines, so those are spread evenly too
+    own, more = (F.array(*(key("w", j) for j in range(k, COMMON + LONG_BANDS, 2))) for k in (0, 1))
+    run, tiny = (F.array(*(key(x, j) for j in range(RUN_BANDS))) for x in "ct")
+    own = F.when(F.col("nw") >= ROWS, own).otherwise(none)  # fewer words than a band are no evidence; such lines have runs
+    more = F.when(F.col("nt") > 0, F.concat(run, tiny)).when(F.col("nc") > 0, run).otherwise(more)
+    apart = F.get(F.transform(F.array("pos"), lambda x: x), 0).alias("pos")
+    return out.select("doc_id", apart, "id", F.concat(own, more).alias("keys"))
 
 
 def grouped(signs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -96,92 +114,103 @@ def grouped(signs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame, Dat
     rows = signs.select("id", F.explode("keys").alias("key"))
     shared = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
     two = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    members = cut(rows.join(_small(shared.where("n > 2").select("key")), "key", "left_semi").select("key", "id").distinct())
+    members = cut(rows.join(small(shared.where("n > 2").select("key")), "key", "left_semi").select("key", "id").distinct())
     members = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
     return two, members.where(F.col("n") <= hot), members.where(F.col("n") > hot)
 
 
 def candidates(signs: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs a < b of ids that share a band, of hot keys some; signs has id and keys."""
-    return paired(*grouped(signs, hot))
-
-
-def paired(two: DataFrame, few: DataFrame, many: DataFrame) -> DataFrame:
-    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    picks = many.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("id", F.xxhash64(F.lit(k), "key", "id")) for k in range(PIVOTS)))).alias("to"))
-    picked = many.join(picks, "key").select("id", F.explode("to").alias("to")).where("id != to")
-    stars = picked.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
-    return two.union(pairs).union(stars).distinct()
-
-
-def shingles(line: Column) -> Column:
-    found = F.when(F.length(line) >= SHINGLE, F.regexp_extract_all(line, F.lit(ALL), F.lit(1))).otherwise(F.array(line))
-    return F.array_distinct(found)
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with the value worked out once: as a plain column it would be made anew at every use."""
-    return F.get(F.transform(F.array(value), body), 0)
+    two, few, many = grouped(signs, hot)
+    return stars(two, few, many).union(paired(few)).distinct()
 
 
-def units(line: Column) -> Column:
-    """The distinct words of a line, each with the spaces around it and the characters that its shingles reach into."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(UNITS), F.lit(1)))
+def stars(two: DataFrame, few: DataFrame, many: DataFrame) -> DataFrame:
+    """Pairs that a group of like lines is joined by: under a smaller key each line with the least one, under a hot one
+    each with one picked by hash, another one under each key."""
+    least = few.groupBy("key").agg(F.min("id").alias("to"))
+    picks = many.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("to"))
+    spokes = few.select("key", "id").join(least, "key").union(many.select("key", "id").join(small(picks), "key")).where("id != to")
+    return two.union(spokes.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))).distinct()
 
 
-def missing(x: Column, y: Column) -> Column:
-    """How many shingles of x aren't in y, for lines of SHINGLE characters and more. A shingle of a unit that y has too
-    is in y, so only those of the other units are cut out and looked for. Lines over LONG compare their whole sets."""
-    starts = lambda u: F.sequence(F.lit(1), F.length(u) - (SHINGLE - 1))
-    other = F.filter(F.array_except(units(x), units(y)), lambda u: F.length(u) >= SHINGLE)
-    cut_out = F.array_distinct(F.flatten(F.transform(other, lambda u: F.transform(starts(u), lambda i: F.substring(u, i, F.lit(SHINGLE))))))
-    whole = F.size(F.array_except(shingles(x), shingles(y)))
-    return F.when(F.greatest(F.length(x), F.length(y)) > LONG, whole).otherwise(F.size(F.filter(cut_out, lambda s: ~F.contains(y, s))))
+def paired(few: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """All pairs a < b under the smaller keys; with links (node, root) those of different components only."""
+    own = few.select("key", "id", F.col("id").alias("root"))
+    if links is not None:
+        own = few.join(links.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    x, y = (own.select("key", F.col("id").alias(i), F.col("root").alias(r)) for i, r in (("a", "x"), ("b", "y")))
+    return x.join(y, "key").where("a < b and x != y").select("a", "b").distinct()
 
 
-def similar(x: Column, y: Column, nx: Column, ny: Column, similarity: float) -> Column:
-    """Whether the sets of all shingles of two different lines, nx and ny in number, have that Jaccard similarity (a line
-    shorter than a shingle is its own). Numbers that are too far apart settle it without looking at the text."""
-    long = F.least(F.length(x), F.length(y)) >= SHINGLE
-    return (F.least(nx, ny) / F.greatest(nx, ny) >= similarity) & long & (_let(missing(x, y), lambda m: (nx - m) / (ny + m)) >= similarity)
+def similar(x: Column, y: Column, similarity: float) -> Column:
+    """Whether the sets x and y, of the hashes of all shingles of two different lines, have that Jaccard similarity."""
+    n, m, both = F.size(x), F.size(y), F.size(F.array_intersect(x, y))
+    return (F.least(n, m) >= similarity * F.greatest(n, m)) & (both >= similarity * (n + m - both))
 
 
 def verified(pairs: DataFrame, each: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs at `similarity` or more; each has id and line."""
+    """The pairs at `similarity` or more; each has id and line. Texts travel and sets are made where both
+    meet, as a set is many times the size of its text."""
     pairs = cut(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = each.select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
-    known = cut(known.select("id", "line", F.size(shingles(F.col("line"))).alias("n")))
-    x, y = (known.select(F.col("id").alias(i), F.col("line").alias(t), F.col("n").alias(n)) for i, t, n in (("a", "x", "nx"), ("b", "y", "ny")))
-    return pairs.join(x, "a").join(y, "b").where(similar(*map(F.col, ("x", "y", "nx", "ny")), similarity)).select("a", "b")
+    known = cut(each.select("id", "line").join(small(ids), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line")).where(F.length("line") >= SHINGLE))
+    x, y = (known.select(F.col("id").alias(i), F.col("line").alias(t)) for i, t in (("a", "x"), ("b", "y")))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", F.explode(F.array(strange(F.col("x"), F.col("y"), similarity))).alias("far")).where("not far")
+    sets = F.struct(*(F.array_distinct(shingles(F.col(t))).alias(t) for t in "xy"))
+    both = both.select("a", "b", F.explode(F.array(sets)).alias("s"))  # no filter is moved below an explode, so sets are made once
+    return both.where(similar(F.col("s.x"), F.col("s.y"), similarity)).select("a", "b")
+
+
+def strange(x: Column, y: Column, similarity: float) -> Column:
+    """True only of lines below the similarity, by a look at the start of x: a set of n shingles that has the similarity with
+    another misses at most (1 - similarity) n of them there, so more among its first ones settle it."""
+    most = F.floor((F.length(x) - (SHINGLE - 1)) * (1 - similarity) + 1e-6)
+    first = F.sequence(F.lit(1), F.least(F.length(x) - (SHINGLE - 1), (most * 5 / 4).cast("int") + 8))
+    lacking = lambda x, y: F.filter(F.transform(first, lambda i: F.substring(x, i, F.lit(SHINGLE))), lambda t: ~F.contains(y, t))
+    return F.size(F.array_distinct(lacking(x, y))) > most
 
 
 def shingle_sets(ids: DataFrame, each: DataFrame) -> DataFrame:
     """id and s (the hashes of its shingles) of those lines."""
-    known = each.select("id", "line").join(_small(ids), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
-    return known.where(F.length("line") >= SHINGLE).select("id", F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("s"))
+    known = each.select("id", "line").join(small(ids), "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
+    return known.where(F.length("line") >= SHINGLE).select("id", F.array_distinct(shingles(F.col("line"))).alias("s"))
+
+
+def families(many: DataFrame, links: DataFrame) -> DataFrame:
+    """id, family and root: lines that hot keys tie together, directly or over others, are a family; those that are of one
+    component (links has node and root) altogether are left out."""
+    hub = many.groupBy("key").agg(F.min("id").alias("to"))
+    tied = components(many.join(small(hub), "key").select("id", "to"), "id", "to").select(F.col("node").alias("id"), F.col("root").alias("family"))
+    own = cut(tied.join(links.withColumnRenamed("node", "id"), "id", "left").select("id", "family", F.coalesce("root", "id").alias("root")))
+    mixed = own.groupBy("family").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("family")
+    return cut(own.join(small(mixed), "family", "left_semi").select("id", "family", "root"))
 
 
 def unsettled(many: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
     """All pairs a < b of ids under one hot key that may be similar and aren't in one component of links (node, root) yet.
 
     A line's prefix is the (1 - similarity) share of its shingles, and one more, that come first in an order common to
-    all lines; two lines without a common shingle in their prefixes are below `similarity` for certain. The order is by
-    rarity, so lines of one template meet by what differs in them. The largest component of a key isn't paired within
-    itself, so a group of near copies costs as many rows as lines lie outside of it."""
-    m = many.select("key", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    m = cut(m)
-    sizes = m.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    m = cut(m.join(sizes.where("roots > 1"), "key").select("key", "id", "root", (F.col("root") != F.col("main")).alias("out")))
-    sets = cut(sets_of(m.select("id").distinct()))
-    flat = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
-    ranked = flat.join(_small(flat.groupBy("s").agg(F.count("*").alias("f"))), "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
+    its family; two lines without a common shingle in their prefixes are below `similarity` for certain. The order is by
+    rarity in the family, so lines of one template meet by what differs in them. What comes before the first shingle that
+    two lines have in common, either of them has alone; if that leaves too few, the pair is below too. Under a shingle,
+    the largest component isn't paired within itself, so a group of near copies costs as many rows as lines lie outside
+    of it."""
+    own = families(many, links)
+    sets = cut(sets_of(own.select("id")))
+    flat = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("s")).join(small(own), "id")
+    ranked = flat.join(flat.groupBy("family", "s").agg(F.count("*").alias("f")), ["family", "s"])
+    ranked = ranked.groupBy("id", "n", "family", "root").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
     size = (F.floor(F.col("n") * (1 - similarity) + 1e-6) + 1).cast("int")
-    prefix = ranked.select("id", "n", F.explode(F.slice("all", 1, size)["s"]).alias("s"))
-    rows = cut(m.join(prefix, "id"))
-    x, y = rows.where("out").alias("x"), rows.alias("y")
-    near = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6) & (F.col("x.root") != F.col("y.root"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.s") == F.col("y.s")) & near)
+    prefix = cut(ranked.select("id", "n", "family", "root", F.posexplode(F.slice("all", 1, size)["s"]).alias("at", "s")))
+    sizes = prefix.groupBy("family", "s", "root").agg(F.count("*").alias("n")).groupBy("family", "s")
+    main = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    rows = cut(prefix.join(main, ["family", "s"]))
+    x, y = rows.where("root != main").alias("x"), rows.alias("y")
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # shingles in common
+    near = (most * (1 + similarity) >= (F.col("x.n") + F.col("y.n")) * similarity - 1e-6) & (F.col("x.root") != F.col("y.root"))
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.s") == F.col("y.s")) & near & once)
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -193,11 +222,14 @@ def linked(signs: DataFrame, each: DataFrame, hot: int = HOT, similarity: float
 def joined(signs: DataFrame, check: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], hot: int = HOT, similarity: float = SIMILARITY) -> DataFrame:
     """node and root of the components of all pairs that share a key and pass the check; signs has id and keys."""
     two, few, many = grouped(signs, hot)
-    edges = cut(check(paired(two, few, many)))
-    links = components(edges)
+    tried = cut(stars(two, few, many))
+    edges = cut(check(tried))
+    links = cut(components(edges))
+    edges = cut(edges.union(check(paired(few, links).join(tried, ["a", "b"], "left_anti"))))
+    links = cut(components(edges))
     if not many.limit(1).count():
         return links
-    more = cut(check(unsettled(many, links, sets_of, similarity)))
+    more = cut(check(unsettled(many, links, sets_of, similarity).join(tried, ["a", "b"], "left_anti")))
     return components(edges.union(more)) if more.limit(1).count() else links
 
 
@@ -209,8 +241,10 @@ def removed(docs: DataFrame, hot: int = HOT, similarity: float = SIMILARITY) ->
     first = spot.groupBy("id").agg(F.min("place").alias("first"), F.max("place").alias("final"))
     named = first.join(links.withColumnRenamed("node", "id"), "id", "left").where((F.col("first") < F.col("final")) | F.col("root").isNotNull())
     named = cut(named.select("id", "first", F.coalesce("root", "id").alias("root")))
-    best = named.groupBy("root").agg(F.min("first").alias("best"))
-    out = spot.join(_small(named.join(best, "root").select("id", "best")), "id").where(F.col("place") != F.col("best"))
+    # a root with one line alone is its own best: the others are few, and no root gathers its lines in one task
+    best = named.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best")
+    goes = named.join(small(best), "root", "left").select("id", F.coalesce("best", "first").alias("best"))
+    out = spot.join(small(goes), "id").where(F.col("place") != F.col("best"))
     return out.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
