@@ -9,7 +9,12 @@ to languages and to the whole, and a text fails if a measure lies beyond the qua
 quartile distance (a least distance keeps uniform groups from turning strict). A group below `least_rows` uses its
 language's thresholds, and that the whole's. Thresholds are a small table joined on language and source.
 
-Results: null text has no words and fails the base; null lang or source is a group of its own; every input row
+Sketches pick what they keep at random in groups of more than about SKETCH rows, so `kept` may differ between runs for
+rows within 0.4 % of a fence's rank; smaller groups are exact. `least_rows` is a switch of the method: a small group has no
+quartiles of its own worth the name.
+
+Results: very long texts are measured whole, in one row; columns that clash with a measure's name are replaced by it, all
+others stay; repeated rows count as rows; null text has no words and fails the base; null lang or source is a group of its own; every input row
 gives one output row; no rows give no rows.
 """
 

@@ -66,7 +66,11 @@ class Segmenter:
         self.rare: dict[str, int] = {}  # counts of other words that are in the runs to split
         self.total = math.log(sum(counts.values()) + rest or 1)
         self.cost = {w: self.total - math.log(n) for w, n in counts.items()}
-        self.split = lru_cache(maxsize=100_000)(self._split)
+        self._kept = lru_cache(maxsize=100_000)(self._split)
+
+    def split(self, run: str) -> tuple[str, ...]:
+        """The likeliest words of a run of letters; those of short runs are kept for the next time."""
+        return self._kept(run) if len(run) <= 64 else self._split(run)
 
     def _split(self, run: str) -> tuple[str, ...]:
         best: list[tuple[float, int]] = [(0.0, 0)]
