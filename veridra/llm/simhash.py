@@ -13,7 +13,8 @@ cost, so its candidates are MinHash ring bands of the shingles' hashes (as in li
 sets; only what `near_duplicates` reports is held to the fingerprints.
 
 Results: null or wordless text has fingerprint zero; every input row gives one output row; null doc_id never
-becomes a component_id unless the component has no other.
+becomes a component_id unless the component has no other; no rows give no rows. A very long text is one slice in a
+worker. Columns besides doc_id and text are ignored by `near_duplicates`, and all kept by `dedup`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridra.llm import linededup
-from veridra.llm.common import cut, text_slices, texts
+from veridra.llm.common import cut, small, text_slices, texts
 from veridra.llm.graph import components
 
 SEED, SHINGLE, MAX_BITS, HOT = 42, 3, 2, 64
@@ -104,10 +105,11 @@ def links(uniq: DataFrame, hot: int = HOT) -> DataFrame:
 def classes(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """The rows of prints (columns doc_id and fp, maybe more) with root, a name of the component, and component_id."""
     uniq = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    root = components(links(uniq, hot))
-    named = uniq.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+    named = uniq.join(components(links(uniq, hot)).withColumnRenamed("node", "fp"), "fp", "left")
+    least = named.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))  # a fingerprint alone is its own
+    component = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least"))
+    named = named.join(small(least), "root", "left").select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id"))
+    return prints.join(named, "fp")
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -162,8 +164,8 @@ def dedup(docs: DataFrame, hot: int = NEAR_HOT) -> DataFrame:
     prints = cut(docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row_hash")))
     named = near_classes(docs.where("doc_id is not null"), hot).select("root", F.struct("doc_id", "row_hash").alias("row"))
     named = cut(named)
-    best = named.groupBy("root").agg(F.min("row").alias("best"))
-    gone = named.join(best, "root").where(F.col("row") != F.col("best")).select("row.doc_id", "row.row_hash").distinct()
+    best = named.groupBy("root").agg(F.min("row").alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best")
+    gone = named.join(small(best), "root").where(F.col("row") != F.col("best")).select("row.doc_id", "row.row_hash").distinct()
     on = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["row_hash"])
     kept = docs.join(gone, on, "left_anti")
     ids = prints.groupBy("doc_id", "row_hash").count()
