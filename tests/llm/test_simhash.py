@@ -4,7 +4,7 @@ import re
 
 import xxhash
 
-from veridra.llm import graph, simhash
+from veridra.llm import graph, linededup, simhash
 
 
 def brute_print(text):
@@ -98,3 +98,19 @@ def test_dedup_takes_edited_copies(spark):
         print("gone", collections.Counter(n for a, b, n in pairs if b not in kept))
         assert all(a in kept for a, *_ in pairs) and sum(b not in kept for _, b, _ in pairs) >= 0.98 * len(pairs)
         assert {len(texts) - 2, len(texts) - 1} <= kept
+
+
+def test_dedup_links_by_fingerprints(spark, monkeypatch):
+    """Without the bands of the second turn, near copies within two bits go and only those."""
+    pick, texts, near = random.Random(4), [], {}
+    for _ in range(20):
+        x = [f"w{pick.randrange(5000)}" for _ in range(600)]
+        y = list(x)
+        for i in pick.sample(range(600), 2):
+            y[i] = "edited"
+        near[len(texts) + 1] = bin(brute_print(" ".join(x)) ^ brute_print(" ".join(y))).count("1") <= 2
+        texts += [" ".join(x), " ".join(y)]
+    grouped = linededup.grouped
+    monkeypatch.setattr(linededup, "grouped", lambda signs, hot: tuple(part.limit(0) for part in grouped(signs, hot)))
+    kept = {r.doc_id for r in simhash.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert 3 < sum(near.values()) < 20 and {k: k not in kept for k in near} == near

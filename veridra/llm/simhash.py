@@ -7,10 +7,11 @@ than `hot` fingerprints isn't paired: its members are linked through midpoints i
 fingerprints within two bits share a value that differs from each in one bit at most, and all that share such a
 value are within two bits of each other, so each is linked to the least of them only. Rows stay linear there.
 
-`dedup`, the stage of a corpus pipeline, takes texts as near copies at an exact Jaccard similarity of SIMILARITY over
-five-word shingles. There a SimHash differs in about ten of 64 bits, which no number of blocks finds at a bearable
-cost, so its candidates are MinHash ring bands of the shingles' hashes (as in linededup), each pair verified by its
-sets; only what `near_duplicates` reports is held to the fingerprints.
+`dedup`, the stage of a corpus pipeline, makes the same fingerprints, finds those within MAX_BITS by the same blocks and
+links what the exact check confirms: a Jaccard similarity of SIMILARITY over five-word shingles. At that similarity
+fingerprints differ in about ten of 64 bits, which no number of blocks finds at a bearable cost, so a second turn adds
+what lies beyond the radius: MinHash ring bands of the shingles' hashes (as in linededup), for pairs that the
+fingerprints haven't joined, with the same check. Sets are made for texts that have a candidate only.
 
 Results: null or wordless text has fingerprint zero; every input row gives one output row; null doc_id never
 becomes a component_id unless the component has no other; no rows give no rows. A very long text is one slice in a
@@ -121,19 +122,42 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in text_slices(batches):
-        ids, sets, keys = [], [], []
+        prints, ids, keys = [], [], []
         for text in texts(batch):
             h = np.unique(shingle_hashes(text, NEAR_SHINGLE))
+            prints.append(fingerprint(text))
             ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))  # texts of one set are one node
-            sets.append(h.view(np.int64))
             if len(h):
                 at = (np.searchsorted(h, _ANCHORS)[:, None] + np.arange(min(ROWS, len(h)))) % len(h)
                 keys.append(np.array([xxhash.xxh64_intdigest(h[a].tobytes(), j) for j, a in enumerate(at)], np.uint64).view(np.int64))
             else:
                 keys.append(np.zeros(0, np.int64))
         kept = [batch.column(batch.schema.get_field_index(c)).cast(pa.int64()) for c in ("doc_id", "row_hash")]
-        lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, sets)]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(np.array(ids, np.uint64).view(np.int64)), *lists], names=["doc_id", "row_hash", "id", "keys", "s"])
+        made = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, ids)]
+        yield pa.RecordBatch.from_arrays([*kept, *made, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row_hash", "fp", "id", "keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        sets = [np.unique(shingle_hashes(text, NEAR_SHINGLE)).view(np.int64) for text in texts(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+
+
+def shingle_sets(rows: DataFrame, signs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and s (the hashes of its shingles) of those nodes, of one text each; signs has doc_id, row_hash and id of rows."""
+    one = signs.join(small(ids), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "row_hash")).alias("row"))
+    named = rows.join(small(one.select("id", "row.doc_id", "row.row_hash")), ["doc_id", "row_hash"]).select("id", "text")
+    return named.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"])
+
+
+def print_pairs(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """Pairs a < b of ids that join all whose fingerprints link: those of one fingerprint with the least of them, and the
+    least of two linked fingerprints; prints has fp and id."""
+    first = cut(prints.groupBy("fp").agg(F.min("id").alias("to")))
+    own = prints.join(first, "fp").select("id", "to")
+    a, b = (first.select(F.col("fp").alias(x), F.col("to").alias(t)) for x, t in (("a", "id"), ("b", "to")))
+    pairs = own.union(cut(links(first.select("fp"), hot)).join(a, "a").join(b, "b").select("id", "to")).where("id != to")
+    return pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -147,11 +171,16 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) ->
 def near_classes(docs: DataFrame, hot: int = NEAR_HOT) -> DataFrame:
     """doc_id, row_hash and root (a name of the component of near copies) for each row of docs."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
-    signs = cut(rows.mapInArrow(_signed, "doc_id long, row_hash long, id long, keys array<long>, s array<long>"))
-    single = cut(signs.groupBy("id").agg(F.any_value("keys").alias("keys"), F.any_value("s").alias("s")))
-    sets = single.select("id", "s")
-    links = linededup.joined(single, lambda pairs: alike(pairs, sets), lambda ids: sets.join(ids, "id", "left_semi"), hot, SIMILARITY)
-    return signs.select("doc_id", "row_hash", "id").join(links.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "row_hash", F.coalesce("root", "id").alias("root"))
+    signs = cut(rows.mapInArrow(_signed, "doc_id long, row_hash long, fp long, id long, keys array<long>"))
+    near = cut(print_pairs(signs.select("fp", "id").distinct()))
+    groups = linededup.grouped(signs.groupBy("id").agg(F.any_value("keys").alias("keys")), hot)
+    two, few, many = groups
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    sets = cut(shingle_sets(rows, signs, ends(near).union(ends(two)).union(few.select("id")).union(many.select("id")).distinct()))
+    check = lambda pairs: alike(pairs, sets)
+    found = linededup.added(None, cut(check(near)))
+    found = linededup.joined(groups, check, lambda ids: sets.join(ids, "id", "left_semi"), SIMILARITY, found)
+    return signs.select("doc_id", "row_hash", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "row_hash", F.coalesce("root", "id").alias("root"))
 
 
 def dedup(docs: DataFrame, hot: int = NEAR_HOT) -> DataFrame:
